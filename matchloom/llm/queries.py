@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm.bpe import encode_texts
+from matchloom.llm.fixtures import match_fixtures
+from matchloom.llm.identities import link_variants
 from matchloom.llm.leaks import find_leaks
 from matchloom.llm.moderation import find_harmful, harmful_rates, score_documents
 from matchloom.sources import read_table
 
 
+def p1_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of match ids that are one fixture, each with its confidence."""
+    return match_fixtures(read_table(spark, folder, "matches"), read_table(spark, folder, "entities"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of match ids that are one fixture."""
+    return p1_confidence(spark, folder).select("match_id_a", "match_id_b")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of entities, line-up players and team texts that mean the same."""
+    return link_variants(read_table(spark, folder, "entities"), read_table(spark, folder, "football_lineups"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's ids by byte_bpe_50k."""
     return encode_texts(read_table(spark, folder, "documents"))
@@ -39,5 +56,5 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return harmful_rates(*_remarks(spark, folder))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 ORACLES: dict[str, str] = {}
