@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from matchloom.plans import training
+from matchloom.plans import records, training
 
-_MODULES = (training,)
+_MODULES = (records, training)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
-FLAGSHIP = "p2_found"
+FLAGSHIP = "latest_state"
