@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -47,3 +49,18 @@ def cut_lineage(df):
     """Write df to the shared checkpoint folder and read it from there from now on."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session: their Python needs it for functions over Arrow batches."""
+    context = spark.sparkContext
+    if getattr(context, "_matchloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    # The folder is the driver's own; Spark's file server hands the archive to the executors.
+    archive = Path(tempfile.mkdtemp(prefix="matchloom-package-")) / "matchloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._matchloom_shipped = True
