@@ -1,6 +1,6 @@
 """Abusive, hateful or sexual content: a subsequence string-kernel SVM with Nyström landmarks.
 
-The kernel counts letter subsequences of three and four letters that two texts
+The kernel counts letter subsequences of four to six letters that two texts
 share, each occurrence weighted down by the letters it skips, so gapped and
 inserted characters cost little. Landmarks taken from the labelled remarks
 approximate the kernel (Nyström), a linear SVM is trained on that map, and,
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from matchloom.llm.typography import plain
 
 #: Weight of one skipped letter, and the lengths of subsequences with the letters each may skip.
-DECAY, LENGTHS = 0.6, ((3, 2), (4, 1), (5, 0))
+DECAY, LENGTHS = 0.6, ((4, 1), (5, 1), (6, 0))
 #: Size of the hashed space of subsequences.
 SPACE = 1 << 20
 #: Words per window, in growing order.
-WINDOWS = (4, 7, 11, 16)
+WINDOWS = (5, 8, 12, 16)
 #: At most so many labelled rows are used to fit, in order of their ids, and so many landmarks are taken from them.
 FIT_ROWS, LANDMARKS = 20_000, 1500
 #: Scores from here on count as found.
