@@ -107,7 +107,7 @@ def radius_join(probes: DataFrame, words: DataFrame, radius: int, pivots: int =
     probes, words = (df.toDF(n).where(f"{n} <> ''").distinct() for df, n in ((probes, "probe"), (words, "word")))
     named = [r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(pivots).collect()]
     if not named:
-        return probes.crossJoin(words.limit(0)).selectExpr("probe", "word", "0 as distance")
+        return spark.createDataFrame([], "probe string, word string, distance int")
     sent = spark.sparkContext.broadcast(named)
 
     def place(reach: int):
