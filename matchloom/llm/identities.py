@@ -3,14 +3,14 @@
 Names are taken apart (squad, place, kind of club; given name, surname). Places
 that no provider states as a city are joined to the stated ones by an exact
 edit-radius join over pivot cells; players are compared by a true edit metric
-inside strata that they must share (team, birthday, or name and shirt), large
-strata being parted into pivot cells as well.
+inside strata that they must share (team, birthday, or shirt where one of the
+two has no team), large strata being parted into pivot cells as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.metric import PIVOTS, distances, radius_join
-from matchloom.llm.names import Person, parse_person, parse_team, same_given, same_surname
+from matchloom.llm.names import parse_person, parse_team, same_given, same_surname
 from matchloom.llm.typography import plain
 from matchloom.session import cut_lineage, shuffle_width
 
@@ -146,21 +146,24 @@ def given_names(names: DataFrame) -> frozenset[str]:
     return frozenset(r.word for r in counts.where(F.col("count") >= max(2, GIVEN_SHARE * total)).collect())
 
 
-PERSON = "kind string, key string, team string, dob string, jersey string, position string, names array<string>, surname string, given string, cut boolean"
+PERSON = "kind string, key string, team string, dob string, jersey string, position string, names array<string>, surnames array<string>, cuts array<boolean>, full boolean"
 
 
-def _with_surname(people: DataFrame, given: frozenset[str]) -> DataFrame:
-    """Each person with the parts of the fullest of its names."""
+def _with_surnames(people: DataFrame, given: frozenset[str]) -> DataFrame:
+    """Each person with the surnames of all its names, and whether any name states the given name too."""
     sent = people.sparkSession.sparkContext.broadcast(given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = []
+            surnames, cuts, full = [], [], []
             for names in batch.column("names").to_pylist():
-                parsed = [parse_person(n, sent.value) for n in names] or [Person("", "", False)]
-                best.append(max(parsed, key=lambda p: (not p.cut, len(p.given) > 1, len(p.surname), p)))
+                parsed = [p for p in (parse_person(n, sent.value) for n in names) if p.surname]
+                spelled = sorted({(p.surname, p.cut) for p in parsed})
+                surnames.append([w for w, _ in spelled])
+                cuts.append([c for _, c in spelled])
+                full.append(any(len(p.given) > 1 for p in parsed))
             columns = [batch.column(c) for c in ("kind", "key", "team", "dob", "jersey", "position", "names")]
-            extra = [pa.array([p.surname for p in best], pa.string()), pa.array([p.given for p in best], pa.string()), pa.array([p.cut for p in best], pa.bool_())]
+            extra = [pa.array(surnames, pa.list_(pa.string())), pa.array(cuts, pa.list_(pa.bool_())), pa.array(full, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*columns, *extra], names=[c.split()[0] for c in PERSON.split(", ")])
 
     return people.select("kind", "key", "team", "dob", "jersey", "position", "names").mapInArrow(run, PERSON)
@@ -187,48 +190,66 @@ def alike(a: dict, b: dict) -> bool:
 
 
 def _strata(people: DataFrame) -> DataFrame:
-    full = (F.length("given") > 1) & (F.col("surname") != "")
-    return people.withColumn(
-        "stratum",
+    """People with the strata they share with whom they may be; ``seeks``: the stratum's pairs need one row that seeks.
+
+    Without an equal team or birthday alike() asks for an equal shirt and both
+    given names, and that one of the two has no team: that one seeks.
+    """
+    people = cut_lineage(people)
+    shirt = F.when(F.col("full") & F.col("jersey").isNotNull() & F.col("position").isNotNull(), F.concat_ws("\t", "kind", F.lit("shirt"), "jersey", "position"))
+    stated = people.select(
+        "*",
         F.explode(
             F.array_compact(
                 F.array(
                     F.when(F.col("team").isNotNull(), F.concat_ws("\t", "kind", F.lit("team"), "team")),
                     F.when(F.col("dob").isNotNull(), F.concat_ws("\t", "kind", F.lit("dob"), "dob")),
-                    F.when(full & F.col("jersey").isNotNull(), F.concat_ws("\t", "kind", F.lit("name"), "given", "surname", "jersey")),
                 )
             )
-        ),
-    )
+        ).alias("stratum"),
+    ).withColumn("seeks", F.lit(True))
+    worn = people.withColumns({"stratum": shirt, "seeks": F.col("team").isNull()}).where("stratum is not null")
+    return stated.unionByName(worn.join(worn.where("seeks").select("stratum").distinct(), "stratum", "left_semi"))
 
 
 def _placed(strata: DataFrame) -> DataFrame:
-    """Rows with their cell: one for small strata, pivot cells by surname for large ones; home marks the own cell."""
+    """Rows with their cell: one for small strata, pivot cells by every surname for large ones; home marks the own cells.
+
+    A row that does not seek stands in its own cells only; those that seek come there.
+    """
     sizes = strata.groupBy("stratum").count().where(F.col("count") > STRATUM).select("stratum", F.lit(True).alias("large"))
     sized = strata.join(sizes, "stratum", "left")
     small = sized.where("large is null").drop("large").withColumns({"cell": F.lit(0), "home": F.lit(True)})
-    large = sized.where("large")
-    pivots = [r.surname for r in strata.select("surname").where("surname <> ''").distinct().orderBy(F.xxhash64("surname"), "surname").limit(PIVOTS).collect()] or [""]
+    large = sized.where("large").drop("large")
+    words = strata.select(F.explode("surnames").alias("surname")).distinct()
+    pivots = [r.surname for r in words.orderBy(F.xxhash64("surname"), "surname").limit(PIVOTS).collect()] or [""]
     columns = [*strata.columns]
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strata.schema.fields) + ", cell int, home boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = np.stack([distances(batch.column("surname").to_pylist(), p) for p in pivots], 1)
-            own = table.argmin(1)
+            listed = batch.column("surnames").to_pylist()
+            owner = np.repeat(np.arange(len(listed)), [len(w) for w in listed])
+            table = np.stack([distances([w for ws in listed for w in ws], p) for p in pivots], 1)
+            seeks = batch.column("seeks").to_numpy(zero_copy_only=False).astype(bool)[owner]
             # A name that is only a beginning is near no distance: it goes to every cell.
-            cut = batch.column("cut").to_numpy(zero_copy_only=False).astype(bool)
-            row, cell = np.nonzero((table <= table.min(1, keepdims=True) + 2 * NAME_RADIUS) | cut[:, None])
+            cut = np.array([c for cs in batch.column("cuts").to_pylist() for c in cs], bool)
+            own = np.arange(len(pivots)) == table.argmin(1)[:, None]
+            near = (table <= table.min(1, keepdims=True) + 2 * NAME_RADIUS) & seeks[:, None]
+            reached, at_home = np.zeros((len(listed), len(pivots)), bool), np.zeros((len(listed), len(pivots)), bool)
+            np.logical_or.at(reached, owner, own | near | cut[:, None])
+            np.logical_or.at(at_home, owner, own)
+            row, cell = np.nonzero(reached)
             taken = [batch.column(c).take(pa.array(row)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(cell.astype(np.int32)), pa.array(own[row] == cell)], names=[*columns, "cell", "home"])
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(cell.astype(np.int32)), pa.array(at_home[row, cell])], names=[*columns, "cell", "home"])
 
-    return small.unionByName(large.mapInArrow(run, kind))
+    return small.unionByName(large.mapInArrow(run, kind)).drop("surnames", "cuts", "full")
 
 
 def same_people(people: DataFrame, given: frozenset[str]) -> DataFrame:
-    """Distinct (kind, key_a, key_b) of the records of one kind that are one person."""
+    """Distinct (kind, key_a, key_b) of the records of one kind that are one person: all pairs that alike() accepts."""
     parts = shuffle_width(people.sparkSession) * 8
-    placed = _placed(_strata(_with_surname(people, given)))
+    placed = _placed(_strata(_with_surnames(people, given)))
     sent = people.sparkSession.sparkContext.broadcast(given)
 
     def run(table: pa.Table) -> pa.Table:
@@ -238,7 +259,8 @@ def same_people(people: DataFrame, given: frozenset[str]) -> DataFrame:
             groups.setdefault((r["stratum"], r["cell"]), []).append(r)
         found = set()
         for rows in groups.values():
-            for a, b in combinations(rows, 2):
+            seekers, others = [r for r in rows if r["seeks"]], [r for r in rows if not r["seeks"]]
+            for a, b in chain(combinations(seekers, 2), product(seekers, others)):
                 if a["key"] != b["key"] and (a["home"] or b["home"]) and alike(a, b):
                     found.add((a["kind"], *sorted((a["key"], b["key"]))))
         listed = sorted(found)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from matchloom.llm import moderation as M
 from matchloom.llm.bpe import PairIndexEncoder, default_vocabulary, encode_texts
 from matchloom.llm.fixtures import fit_logistic, match_fixtures
-from matchloom.llm.identities import link_variants
+from matchloom.llm.identities import alike, link_variants, same_people
 from matchloom.llm.leaks import SentenceIndex, find_leaks
 from matchloom.llm.metric import distances, edit_distance, radius_join, slip
 from matchloom.llm.names import parse_person, parse_team, same_given, same_surname
@@ -98,6 +98,29 @@ def test_links_on_tables(spark, folder):
     assert link_variants(entities.limit(0), lineups.limit(0)).count() == 0
 
 
+PEOPLE = "kind string, key string, team string, dob string, jersey string, position string, names array<string>"
+
+
+def people_found(spark, rows, known):
+    return {(r.key_a, r.key_b) for r in same_people(spark.createDataFrame(rows, PEOPLE), frozenset(known)).collect()}
+
+
+def people_alike(rows, known):
+    records = [dict(zip(("kind", "key", "team", "dob", "jersey", "position"), r[:6], strict=True), parsed=[parse_person(n, known) for n in r[6]]) for r in rows]
+    return {tuple(sorted((a["key"], b["key"]))) for k, a in enumerate(records) for b in records[k + 1 :] if alike(a, b)}
+
+
+def test_misspelled_players_without_common_stratum(spark):
+    known = {"kwabena", "marek"}
+    rows = [
+        ("entity", "a", None, "2006-10-09", "6", "M", ["Kwabena Falhearo"]), ("entity", "b", "|x|fc", None, "6", "M", ["Kwabena Faliearo"]),
+        ("entity", "c", None, None, "6", "M", ["Falhearo, Kwabena", "F. Falh."]), ("entity", "d", "|y|fc", None, "6", "D", ["Kwabena Falhearo"]),
+        ("entity", "e", "|z|fc", "1999-01-01", "6", "M", ["Kwabena Falhearo"]), ("entity", "f", "|y|fc", None, "6", "M", ["Marek Falhearo"]),
+        ("entity", "g", "|x|fc", None, None, None, ["Kwabena Falhearo"]), ("entity", "h", None, None, "6", "M", ["K. Falhearo", "", "Kwabena"]),
+    ]
+    assert people_found(spark, rows, known) == people_alike(rows, known) >= {("a", "b"), ("a", "c"), ("b", "c")}
+
+
 def test_fixtures_on_tables(spark, folder):
     matches, entities = read_table(spark, folder, "matches"), read_table(spark, folder, "entities")
     found = match_fixtures(matches, entities).collect()
