@@ -2,8 +2,8 @@
 
 Every match is a bag of attribute terms (its two teams, day, hour, ground,
 scores; rounds are numbered by each provider on its own and tell nothing). Terms weigh by BM25 over all rows. Candidates come only from
-the posting lists of essential terms, a team or ground on one day, or a pair of
-teams where no day is known: without any of them a row cannot reach the score
+the posting lists of essential terms, a team on one day, or a pair of teams (one
+team where the other is not told) where no day is known: without any of them a row cannot reach the score
 of a match, so nothing that could be on top is lost, while the long lists of
 the light terms (hours, scores) are never walked, only added up on what the
 essential ones brought. The best partner in each other provider counts where
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.identities import name_teams
-from matchloom.operators.instants import match_instants
+from matchloom.operators.instants import match_instants, stated_dates
 from matchloom.operators.nested import read_json
 from matchloom.session import cut_lineage
 
@@ -25,6 +25,8 @@ from matchloom.session import cut_lineage
 K1, B = 1.2, 0.4
 #: Kick-offs further apart than this are another occasion.
 SAME_OCCASION_H = 12
+#: Of a date without time of day the zone is not known either: dates further apart than this are another occasion.
+SAME_DATE_DAYS = 1
 #: A row without kick-off is near a fixture if both were first delivered within so many days.
 SAME_DELIVERY_DAYS = 3
 #: Within so many days a row without kick-off needs the same ground, score and half-time score.
@@ -35,7 +37,7 @@ LIGHT = ("hour", "ground", "score", "half_score")
 
 
 def fixture_records(matches: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row per (source, match_id): team_a <= team_b, instant, and the light attributes."""
+    """One row per (source, match_id): team_a <= team_b, instant, day (of the instant, else the stated date), and the light attributes."""
     rows = matches.where("match_id is not null and source is not null")
     latest = rows.groupBy("source", "match_id").agg(
         F.max_by(
@@ -57,6 +59,7 @@ def fixture_records(matches: DataFrame, entities: DataFrame) -> DataFrame:
     texts = read.select(F.explode(F.array("home_text", "away_text")).alias("text")).where("text is not null").distinct()
     of_entity, of_text = name_teams(entities, texts)
     instants = match_instants(read.select("match_id", "source", "kickoff_utc", "payload"))
+    dates = stated_dates(read.select("match_id", "source", "kickoff_utc"))
     joined = read.drop("payload")
     for side in ("home", "away"):
         e = of_entity.select(F.col("source").alias(f"{side}_s"), F.col("entity_id").alias(f"{side}_e"), F.col("team").alias(f"{side}_by_id"))
@@ -66,8 +69,8 @@ def fixture_records(matches: DataFrame, entities: DataFrame) -> DataFrame:
         joined = joined.withColumn(side, F.coalesce(f"{side}_by_id", f"{side}_by_text"))
     pair = lambda a, b: F.concat_ws("-", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
     both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), pair(F.col(a), F.col(b)))
-    return joined.join(instants, ["source", "match_id"], "left").select(
-        "source", "match_id", "instant", "collected",
+    return joined.join(instants, ["source", "match_id"], "left").join(dates, ["source", "match_id"], "left").select(
+        "source", "match_id", "instant", "collected", F.coalesce(F.date_format("instant", "yyyy-MM-dd"), F.col("stated").cast("string")).alias("day"),
         F.least("home", "away").alias("team_a"), F.when(F.col("home").isNotNull() & F.col("away").isNotNull(), F.greatest("home", "away")).alias("team_b"),
         F.date_format("instant", "HH:mm").alias("hour"), F.lower(F.trim("ground")).alias("ground"),
         both("score_home", "score_away").alias("score"), both("ht_home", "ht_away").alias("half_score"),
@@ -103,7 +106,10 @@ def _candidates(records: DataFrame) -> DataFrame:
     lost = undated.where("team_b is not null").select(key.alias("a"), "team_a", "team_b")
     every = records.where("team_b is not null").select(key.alias("b"), "team_a", "team_b")
     by_pair = lost.join(every, ["team_a", "team_b"]).select("a", "b")
-    ordered = by_day.unionByName(by_pair).where("a.source <> b.source")
+    # Where either tells one team only, that team's list stands for the pair's.
+    told = lambda df, n: df.select(key.alias(n), subjects.alias("team"), F.col("team_b").isNull().alias(f"half_{n}"))
+    by_team = told(undated, "a").join(told(records, "b"), "team").where("half_a or half_b").select("a", "b")
+    ordered = by_day.unionByName(by_pair).unionByName(by_team).where("a.source <> b.source")
     swap = F.col("a.source") > F.col("b.source")
     return ordered.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
 
@@ -117,14 +123,15 @@ def _scored(records: DataFrame) -> DataFrame:
     weight = lambda c: F.coalesce(F.try_element_at(a("w"), F.lit(c)), F.lit(0.0))
     hours = F.abs(F.timestamp_diff("MINUTE", a("instant"), b("instant"))) / 60.0
     delivered = F.abs(F.timestamp_diff("HOUR", a("collected"), b("collected"))) / 24.0
-    near = F.when(hours.isNotNull(), hours <= SAME_OCCASION_H).otherwise(delivered <= SAME_DELIVERY_DAYS)
+    days = F.abs(F.datediff(a("day").cast("date"), b("day").cast("date")))
+    near = F.when(hours.isNotNull(), hours <= SAME_OCCASION_H).when(days.isNotNull(), days <= SAME_DATE_DAYS).otherwise(delivered <= SAME_DELIVERY_DAYS)
     in_b = lambda c: F.coalesce((a(c) == b("team_a")) | (a(c) == b("team_b")), F.lit(False)) & a(c).isNotNull()
     shared = F.when(in_b("team_a"), weight("team_a")).otherwise(0.0) + F.when(in_b("team_b"), weight("team_b")).otherwise(0.0)
     day = F.when(near, F.greatest(weight("day"), F.coalesce(F.try_element_at(b("w"), F.lit("day")), F.lit(0.0))))
     light = [F.when(a(c) == b(c), weight(c)).otherwise(0.0) for c in LIGHT]
     total = sum(light, shared + F.coalesce(day, F.lit(0.0)))
     return pairs.select(
-        "a", "b", hours.alias("hours"), delivered.alias("delivered"),
+        "a", "b", hours.alias("hours"), days.alias("days"), delivered.alias("delivered"),
         (in_b("team_a").cast("int") + in_b("team_b").cast("int")).alias("teams"),
         (a("team_b").isNotNull() & b("team_b").isNotNull()).alias("both_known"),
         *[F.when(a(c).isNotNull() & b(c).isNotNull(), a(c) == b(c)).alias(f"same_{c}") for c in LIGHT],
@@ -158,12 +165,12 @@ def match_fixtures(matches: DataFrame, entities: DataFrame) -> DataFrame:
     """(match_id_a, match_id_b, confidence): the pairs that are one fixture, smaller id first.
 
     Kept are mutual best partners that pass the exact check: the same two teams
-    (one of them where the other is not told), and kick-offs of one occasion or,
-    where one states none, deliveries of one occasion. Null and blank entities are told by the payload if it can be;
+    (one of them where the other is not told), and kick-offs of one occasion,
+    dates next to each other where one states no time of day or, where one states
+    no date either, deliveries of one occasion. Null and blank entities are told by the payload if it can be;
     repeated deliveries count once, the latest one; withdrawn rows count.
     """
-    records = fixture_records(matches, entities).withColumn("day", F.date_format("instant", "yyyy-MM-dd"))
-    records = cut_lineage(_weights(cut_lineage(records)))
+    records = cut_lineage(_weights(cut_lineage(fixture_records(matches, entities))))
     scored = cut_lineage(_scored(records))
     mutual = cut_lineage(_best(scored, "a", "b", "a_to_b").join(_best(scored, "b", "a", "b_to_a"), ["a", "b"]).join(scored, ["a", "b"]).withColumn("lead", F.least("a_lead", "b_lead")))
     # Calibration on all mutual pairs: how often the kick-offs agree to the hour, by lead in steps of a half.
@@ -175,7 +182,7 @@ def match_fixtures(matches: DataFrame, entities: DataFrame) -> DataFrame:
     teams = F.when(F.col("both_known"), F.col("teams") == 2).otherwise((F.col("teams") >= 1) & (alike("ground") | alike("score")))
     late = (F.col("delivered") <= LATE_DAYS) & alike("ground") & alike("score") & alike("half_score")
     undated = (F.col("delivered") <= SAME_DELIVERY_DAYS) & ~unlike("ground") | late
-    occasion = F.when(F.col("hours").isNotNull(), F.col("hours") <= SAME_OCCASION_H).otherwise(undated)
+    occasion = F.when(F.col("hours").isNotNull(), F.col("hours") <= SAME_OCCASION_H).when(F.col("days").isNotNull(), F.col("days") <= SAME_DATE_DAYS).otherwise(undated)
     kept = mutual.where(teams & occasion).select(
         F.least("a.match_id", "b.match_id").alias("match_id_a"), F.greatest("a.match_id", "b.match_id").alias("match_id_b"), confidence.alias("confidence")
     )

@@ -184,6 +184,17 @@ def match_instants(matches: DataFrame) -> DataFrame:
     return parse_moments(rows, "instant", F.col("kickoff_utc"), us, F.col("tz")).select("match_id", "source", "instant")
 
 
+def stated_dates(matches: DataFrame) -> DataFrame:
+    """(match_id, source, stated) of the matches: the date in the text as written, with or without a readable time of day, else null."""
+    us = F.coalesce(F.col("source") == "stadia9", F.lit(False))
+    date = F.regexp_replace("clean", SPLIT, "$1")
+    rows = matches.select("match_id", "source", tidy(F.col("kickoff_utc")).alias("clean"))
+    parts = rows.withColumn("d", F.split(date_fields(date, us), r"\|"))
+    d = F.col("d")
+    made = F.call_function("try_make_timestamp_ntz", _int(d[0]), _month(d[1]), _int(d[2]), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"))
+    return parts.select("match_id", "source", made.cast("date").alias("stated"))
+
+
 def worldcup_instants(worldcup: DataFrame) -> DataFrame:
     """(wc_id, instant) of the schedule; a record without offset or zone states no instant."""
     rows = worldcup.select("wc_id", tidy(F.col("date")).alias("date"), tidy(F.col("time")).alias("time"))

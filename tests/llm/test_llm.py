@@ -130,6 +130,24 @@ def test_fixtures_on_tables(spark, folder):
     assert match_fixtures(matches.limit(0), entities.limit(0)).count() == 0
 
 
+def test_fixtures_by_stated_date_and_by_one_team(spark):
+    teams = ["FC Korranze", "SC Tindaja", "CD Gislesh", "SV Nofancul", "AC Visvos", "FC Brandel"]
+    entities = [(s, f"{s}:{k}", "team", t, None, None, f'{{"city": "{t.split()[1]}"}}') for s in ("kikt", "pitchwire") for k, t in enumerate(teams)]
+    match = lambda s, m, kickoff, home, away, ground, score, day: (s, m, kickoff, home and f"{s}:{home}", away and f"{s}:{away}", *score, f'{{"stadium": "{ground}"}}', day)
+    rows = [
+        # The date is stated, the delivery seven weeks late.
+        match("kikt", "k1", "2020-08-07T18:00:00Z", "0", "1", "Park", (2, 1), "2020-08-07"), match("pitchwire", "p1", "2020-08-07", "0", "1", "Park", (3, 1), "2020-09-26"),
+        # Delivered together, but the stated date is that of another day.
+        match("kikt", "k2", "2020-08-14T18:00:00Z", "2", "3", "Lane", (0, 0), "2020-08-14"), match("pitchwire", "p2", "2020-08-11", "2", "3", "Lane", (0, 0), "2020-08-14"),
+        # No date and one team only.
+        match("kikt", "k3", "2020-08-21T18:00:00Z", "4", "5", "Hill", (4, 2), "2020-08-21"), match("pitchwire", "p3", "TBD", "4", None, "Hill", (4, 2), "2020-08-22"),
+    ]
+    schema = "source string, match_id string, kickoff_utc string, home_entity string, away_entity string, score_home int, score_away int, payload string, collected string"
+    matches = spark.createDataFrame(rows, schema).selectExpr("*", "cast(null as string) as updated_at", "cast(collected as timestamp_ntz) as collected_at").drop("collected")
+    stored = spark.createDataFrame(entities, "source string, entity_id string, kind string, display_name string, name_folded string, parent_entity string, payload string")
+    assert {(r.match_id_a, r.match_id_b) for r in match_fixtures(matches, stored).collect()} == {("k1", "p1"), ("k3", "p3")}
+
+
 def test_logistic():
     base, slope = fit_logistic([(0.0, 100, 10), (1.0, 100, 50), (2.0, 100, 90)])
     assert abs(base + slope) < 0.2 and slope > 1.5
