@@ -10,25 +10,24 @@ two has no team), large strata being parted into pivot cells as well.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations, product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.metric import PIVOTS, distances, radius_join
+from matchloom.llm.metric import COUNTED, PIVOTS, distances, letter_counts, radius_join
 from matchloom.llm.names import parse_person, parse_team, same_given, same_surname
 from matchloom.llm.typography import plain
 from matchloom.session import cut_lineage, shuffle_width
 
 #: Edit radius within which a misspelled place is looked for.
 PLACE_RADIUS = 2
-#: Edit radius of surnames.
-NAME_RADIUS = 2
+#: Edit radius of surnames, the widest that same_surname accepts.
+NAME_RADIUS = 3
 #: A word of at least this share of all names is a given name; so there are at most some thousands of them.
 GIVEN_SHARE = 0.001
-#: Strata of more rows than this are parted into pivot cells.
+#: Strata of more rows than this are parted into pivot cells; the result does not depend on it.
 STRATUM = 500
 
 TEAM_PARTS = "text string, squad string, core string, kind string, year string"
@@ -246,6 +245,32 @@ def _placed(strata: DataFrame) -> DataFrame:
     return small.unionByName(large.mapInArrow(run, kind)).drop("surnames", "cuts", "full")
 
 
+def _near_pairs(rows: list[dict]) -> Iterator[tuple[dict, dict]]:
+    """Pairs of rows of one cell that alike() may accept: one at home, one that seeks, two surnames not surely out of reach."""
+    if len(rows) < 2:
+        return
+    owner = np.repeat(np.arange(len(rows)), [len(r["parsed"]) for r in rows])
+    spelled = [p for r in rows for p in r["parsed"]]
+    words = [p.surname for p in spelled]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    # Beginnings, and words whose letters are not counted to the end, are compared in any case.
+    loose = np.fromiter((p.cut for p in spelled), bool, len(words)) | (size > COUNTED)
+    letters = letter_counts(words).astype(np.int16)
+    home, seeks = (np.fromiter((r[c] for r in rows), bool, len(rows))[owner] for c in ("home", "seeks"))
+    partners: list[set[int]] = [set() for _ in rows]
+    for k, mine in enumerate(owner.tolist()):
+        near = (owner > mine) & (home[k] | home) & (seeks[k] | seeks)
+        if not loose[k]:
+            near &= loose | (np.abs(size - size[k]) <= NAME_RADIUS)
+        at = np.flatnonzero(near)
+        if not loose[k]:
+            at = at[loose[at] | (np.abs(letters[at] - letters[k]).sum(1) <= 2 * NAME_RADIUS)]
+        partners[mine].update(owner[at].tolist())
+    for i, others in enumerate(partners):
+        for j in others:
+            yield rows[i], rows[j]
+
+
 def same_people(people: DataFrame, given: frozenset[str]) -> DataFrame:
     """Distinct (kind, key_a, key_b) of the records of one kind that are one person: all pairs that alike() accepts."""
     parts = shuffle_width(people.sparkSession) * 8
@@ -259,9 +284,8 @@ def same_people(people: DataFrame, given: frozenset[str]) -> DataFrame:
             groups.setdefault((r["stratum"], r["cell"]), []).append(r)
         found = set()
         for rows in groups.values():
-            seekers, others = [r for r in rows if r["seeks"]], [r for r in rows if not r["seeks"]]
-            for a, b in chain(combinations(seekers, 2), product(seekers, others)):
-                if a["key"] != b["key"] and (a["home"] or b["home"]) and alike(a, b):
+            for a, b in _near_pairs(rows):
+                if a["key"] != b["key"] and alike(a, b):
                     found.add((a["kind"], *sorted((a["key"], b["key"]))))
         listed = sorted(found)
         return pa.table({n: pa.array([f[k] for f in listed], pa.string()) for k, n in enumerate(("kind", "key_a", "key_b"))})

@@ -21,6 +21,8 @@ from matchloom.session import shuffle_width
 
 #: Pivots of a join: what is sent to the tasks is bounded by this.
 PIVOTS = 48
+#: Letters of a word that are counted.
+COUNTED = 100
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -71,11 +73,11 @@ def distances(words: list[str], pivot: str) -> np.ndarray:
     return row[np.arange(len(words)), size]
 
 
-def _counts(words: list[str]) -> np.ndarray:
-    """Letters counted in 32 classes per word."""
+def letter_counts(words: list[str]) -> np.ndarray:
+    """Letters counted in 32 classes per word, up to its COUNTED-th."""
     out = np.zeros((len(words), 32), np.int8)
     for k, w in enumerate(words):
-        for c in w[:100]:
+        for c in w[:COUNTED]:
             out[k, ord(c) & 31] += 1
     return out
 
@@ -85,8 +87,8 @@ def cell_matches(probes: list[str], probe_d: np.ndarray, words: list[str], word_
     if not words or not probes:
         return
     size = np.fromiter(map(len, words), np.int64, len(words))
-    counts = _counts(words)
-    for k, (probe, own) in enumerate(zip(probes, _counts(probes), strict=True)):
+    counts = letter_counts(words)
+    for k, (probe, own) in enumerate(zip(probes, letter_counts(probes), strict=True)):
         near = np.flatnonzero((np.abs(size - len(probe)) <= radius) & (np.abs(word_d - probe_d[k]) <= radius))
         if len(near):
             near = near[np.abs(counts[near].astype(np.int16) - own).sum(1) <= 2 * radius]

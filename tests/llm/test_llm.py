@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from matchloom.llm import identities
 from matchloom.llm import moderation as M
 from matchloom.llm.bpe import PairIndexEncoder, default_vocabulary, encode_texts
 from matchloom.llm.fixtures import fit_logistic, match_fixtures
@@ -121,6 +122,35 @@ def test_misspelled_players_without_common_stratum(spark):
     assert people_found(spark, rows, known) == people_alike(rows, known) >= {("a", "b"), ("a", "c"), ("b", "c")}
 
 
+def test_large_strata_by_every_spelling(spark, monkeypatch):
+    monkeypatch.setattr(identities, "STRATUM", 0)
+    dice = random.Random(4)
+    fillers = [("entity", f"f{k}", "|x|fc", None, None, None, [f"Marek {''.join(dice.choice('abcdefghijklmnop') for _ in range(dice.randint(5, 12)))}"]) for k in range(80)]
+    rows = [*fillers, ("entity", "a", "|x|fc", None, None, None, ["Kwabena Abcdefghijklmn", "Kwabena Zuxor"]), ("entity", "b", "|x|fc", None, None, None, ["Kwabena Zuxor"])]
+    found = people_found(spark, rows, {"kwabena", "marek"})
+    assert ("a", "b") in found and found == people_alike(rows, {"kwabena", "marek"})
+
+
+@pytest.mark.parametrize("stratum", [0, float("inf")])
+def test_links_do_not_depend_on_the_size_of_strata(spark, monkeypatch, stratum):
+    monkeypatch.setattr(identities, "STRATUM", stratum)
+    dice, known = random.Random(3), ["kwabena", "marek", "leonardo"]
+    roots = ["".join(dice.choice("abcdefgh") for _ in range(dice.randint(5, 14))) for _ in range(60)]
+
+    def spelling():
+        word = list(dice.choice(roots))
+        for _ in range(dice.randint(0, 3)):
+            word[dice.randrange(len(word))] = dice.choice(["", "x", "ab"])
+        given, surname = dice.choice(known), "".join(word)
+        return dice.choice([f"{given} {surname}", f"{surname}, {given}", f"{given[0]}. {surname}", surname, f"{given} {surname[:5]}."])
+
+    rows = [
+        ("entity", f"e{k:03}", dice.choice([None, "|x|fc", "|y|fc"]), dice.choice([None, "2000-01-01", "1999-09-09"]), dice.choice(["6", "7"]), dice.choice(["M", "D"]), [spelling() for _ in range(dice.randint(1, 3))])
+        for k in range(250)
+    ]
+    assert people_found(spark, rows, known) == people_alike(rows, frozenset(known))
+
+
 def test_fixtures_on_tables(spark, folder):
     matches, entities = read_table(spark, folder, "matches"), read_table(spark, folder, "entities")
     found = match_fixtures(matches, entities).collect()
