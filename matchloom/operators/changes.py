@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENT_KEY = ("minute", "type", "importance", "detail", "payload")
+#: Every column of an event, as the reference compares it.
+WHOLE_EVENT = ("minute", "period", "type", "importance", "actor_entity", "target_entity", "detail", "payload")
 STATE_KEY = ("status", "minute", "score_home", "score_away", "display_clock", "payload")
 
 
@@ -35,6 +37,49 @@ def event_diff(events: DataFrame, old: int, new: int) -> DataFrame:
     return joined.select(*keys, F.when(F.col(f"f_{old}").isNull(), "new").otherwise("mutated").alias("change"))
 
 
+def steps(polls: DataFrame) -> DataFrame:
+    """(source, snapshot_no, before): each snapshot of a source with the one the source delivered before it; the first has none."""
+    order = Window.partitionBy("source").orderBy("snapshot_no")
+    return polls.select("source", "snapshot_no").distinct().withColumn("before", F.lag("snapshot_no").over(order)).where("before is not null")
+
+
+def step_pairs(polls: DataFrame, keys: list[str], fields: tuple[str, ...], how: str) -> DataFrame:
+    """(snapshot_no, *keys, now, old): each key's fields in a snapshot and in its source's previous one."""
+    rows = one_per_poll(polls, keys).select("snapshot_no", *keys, F.struct(*fields).alias("now"))
+    old = rows.select(F.col("snapshot_no").alias("before"), *keys, F.col("now").alias("old"))
+    return rows.join(steps(polls), ["source", "snapshot_no"]).join(old, [*keys, "before"], how).select("snapshot_no", *keys, "now", "old")
+
+
+def all_event_diffs(events: DataFrame) -> DataFrame:
+    """event_diff of every snapshot with its source's previous one, over all columns of an event."""
+    keys = ["source", "match_id", "seq"]
+    pairs = step_pairs(events, keys, WHOLE_EVENT, "left").where(~F.col("now").eqNullSafe(F.col("old")))
+    return pairs.select("snapshot_no", *keys, F.when(F.col("old").isNull(), "new").otherwise("mutated").alias("change"))
+
+
+def all_poll_diffs(polls: DataFrame, events: DataFrame) -> DataFrame:
+    """diff_polls of every snapshot with its source's previous one."""
+    keys = ["snapshot_no", "source", "match_id"]
+    state = step_pairs(polls, keys[1:], STATE_KEY, "left").select(*keys, (~F.col("now").eqNullSafe(F.col("old"))).alias("state_changed"))
+    fresh = all_event_diffs(events).groupBy(*keys).agg(F.count("*").alias("new_events"))
+    return state.join(fresh, keys, "left").select(*keys, "state_changed", F.coalesce("new_events", F.lit(0)).alias("new_events"))
+
+
+def all_drift(events: DataFrame) -> DataFrame:
+    """(snapshot_no, source, match_id, seq, drift) of every snapshot but a source's first, against all that was stored before it."""
+    keys = ["source", "match_id", "seq"]
+    stored = F.lag(F.struct(*WHOLE_EVENT)).over(Window.partitionBy(*keys).orderBy("snapshot_no"))
+    head = F.max("seq").over(Window.partitionBy("source", "match_id").orderBy("snapshot_no").rangeBetween(Window.unboundedPreceding, -1))
+    rows = one_per_poll(events, keys).withColumns({"kept": stored, "head": head})
+    drift = (
+        F.when(F.col("kept").isNotNull() & F.col("kept").eqNullSafe(F.struct(*WHOLE_EVENT)), "resend")
+        .when(F.col("kept").isNotNull(), "conflict")
+        .when(F.col("seq") <= F.col("head"), "retroactive")
+        .otherwise("new")
+    )
+    return rows.join(steps(events), ["source", "snapshot_no"], "left_semi").select("snapshot_no", *keys, drift.alias("drift"))
+
+
 def classify_drift(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """incoming with ``drift``: duplicate, resend, conflict, retroactive or new.
 

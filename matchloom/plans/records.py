@@ -110,6 +110,33 @@ def drift_classify(s, d):
     return changes.classify_drift(stored, incoming).select("source", "match_id", "seq", "drift")
 
 
+# The next ones do over every snapshot what the ones of like name do over one pair.
+def snapshot_diffs(s, d):
+    return changes.all_poll_diffs(read_table(s, d, "match_polls"), read_table(s, d, "event_polls"))
+
+
+def event_diffs(s, d):
+    return changes.all_event_diffs(read_table(s, d, "event_polls"))
+
+
+def drift_all(s, d):
+    return changes.all_drift(read_table(s, d, "event_polls"))
+
+
+def merge_details(s, d):
+    polls = read_table(s, d, "match_polls").withColumn("kickoff_utc", F.lit(None).cast("string"))
+    fields = ("status", "minute", "display_clock", "score_home", "score_away", "kickoff_utc")
+    merged = merges.merge_detail(F.col("now"), F.col("old"))
+    return changes.step_pairs(polls, ["source", "match_id"], fields, "inner").select("snapshot_no", "source", "match_id", *[c.alias(n) for n, c in merged.items() if n != "kickoff_utc"])
+
+
+def never_regressing(s, d):
+    fields = ("status", "minute", "display_clock", "score_home", "score_away")
+    merged = merges.not_regressing(F.col("now"), F.col("old"), force_terminal=False)
+    pairs = changes.step_pairs(read_table(s, d, "match_polls"), ["source", "match_id"], fields, "inner")
+    return pairs.select("snapshot_no", "source", "match_id", *[merged[n].alias(n) for n in ("status", "score_home", "score_away")])
+
+
 def replay_reveal(s, d):
     revealed = changes.replay(_events(s, d), elapsed_s=40.0, speed=60.0)
     return revealed.groupBy("source", "match_id").agg(F.count("*").alias("n"), F.max("seq").alias("head"))
@@ -221,7 +248,7 @@ def rank_standings(s, d):
 
 
 _NAMES = """latest_state list_matches events_since latest_of_type has_any_event finished_without_events find_by_name fold_names stale_folds
-squad_order player_stats lineup_announced match_participants event_view card_counts snapshot_diff event_diff drift_classify replay_reveal step_reveal
+squad_order player_stats lineup_announced match_participants event_view card_counts snapshot_diff event_diff drift_classify snapshot_diffs event_diffs drift_all merge_details never_regressing replay_reveal step_reveal
 record_union taxonomy_gate seq_stats upsert_last_wins masked_upsert accrued_state merge_detail not_regressing flip_orientation window_nearest
 resolve_authority feed_texts status_words goal_slugs date_chunks json_rows rank_standings""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
@@ -235,8 +262,33 @@ _EVENT_DIFF = "select a.source, a.match_id, a.seq, case when b.source is null th
 )
 _RANK = "coalesce(map {{'UNKNOWN': -1, 'SCHEDULED': 0, 'IN_PLAY': 1, 'PAUSED': 1, 'FINISHED': 2}}[{c}], -1)"
 _ALL_POLLS = "(select * from match_polls qualify row_number() over (partition by source, match_id, snapshot_no order by polled_at desc, status desc) = 1)"
+#: Every snapshot's rows once, each source's snapshots with the one before, and both joined.
+_EVERY_M = "(select * from match_polls qualify row_number() over (partition by source, match_id, snapshot_no order by polled_at desc, status desc, minute desc nulls last, score_home desc nulls last, score_away desc nulls last, display_clock desc nulls last, payload desc nulls last) = 1)"
+_EVERY_E = "(select * from event_polls qualify row_number() over (partition by source, match_id, seq, snapshot_no order by polled_at desc, minute desc nulls last, period desc nulls last, type desc, importance desc, actor_entity desc nulls last, target_entity desc nulls last, detail desc nulls last, payload desc) = 1)"
+_STEPS = "(select source, snapshot_no, lag(snapshot_no) over (partition by source order by snapshot_no) as prev from (select distinct source, snapshot_no from {t}) qualify prev is not null)"
+_WHOLE = lambda a: ", ".join(f"{a}.{c}" for c in ("minute", "period", "type", "importance", "actor_entity", "target_entity", "detail", "payload"))
+_EVENT_DIFFS = f"""select a.snapshot_no, a.source, a.match_id, a.seq, case when b.source is null then 'new' else 'mutated' end as change
+from {_EVERY_E} a join {_STEPS.format(t='event_polls')} s on s.source = a.source and s.snapshot_no = a.snapshot_no
+left join {_EVERY_E} b on b.source = a.source and b.match_id = a.match_id and b.seq = a.seq and b.snapshot_no = s.prev where b.source is null or ({_WHOLE('a')}) is distinct from ({_WHOLE('b')})"""
+_PAIRED = f"{_EVERY_M} a join {_STEPS.format(t='match_polls')} s on s.source = a.source and s.snapshot_no = a.snapshot_no {{how}} join {_EVERY_M} b on b.source = a.source and b.match_id = a.match_id and b.snapshot_no = s.prev"
 
 ORACLES = {
+    "event_diffs": _EVENT_DIFFS,
+    "snapshot_diffs": f"""with n as (select snapshot_no, source, match_id, count(*) as k from ({_EVENT_DIFFS}) group by 1, 2, 3)
+select a.snapshot_no, a.source, a.match_id, (b.source is null or (a.status, a.minute, a.score_home, a.score_away, a.display_clock, a.payload) is distinct from (b.status, b.minute, b.score_home, b.score_away, b.display_clock, b.payload)) as state_changed,
+coalesce(n.k, 0) as new_events from {_PAIRED.format(how='left')} left join n on n.source = a.source and n.match_id = a.match_id and n.snapshot_no = a.snapshot_no""",
+    "drift_all": f"""with e as {_EVERY_E}, h as (select i.source, i.match_id, i.snapshot_no, max(o.seq) as head from (select distinct source, match_id, snapshot_no from e) i
+join e o on o.source = i.source and o.match_id = i.match_id and o.snapshot_no < i.snapshot_no group by 1, 2, 3)
+select i.snapshot_no, i.source, i.match_id, i.seq, case when k.source is not null and ({_WHOLE('k')}) is not distinct from ({_WHOLE('i')}) then 'resend' when k.source is not null then 'conflict'
+when i.seq <= h.head then 'retroactive' else 'new' end as drift from e i join {_STEPS.format(t='event_polls')} s on s.source = i.source and s.snapshot_no = i.snapshot_no
+left join e k on k.source = i.source and k.match_id = i.match_id and k.seq = i.seq and k.snapshot_no = (select max(o.snapshot_no) from e o where o.source = i.source and o.match_id = i.match_id and o.seq = i.seq and o.snapshot_no < i.snapshot_no)
+left join h on h.source = i.source and h.match_id = i.match_id and h.snapshot_no = i.snapshot_no""",
+    "merge_details": f"""with j as (select a.snapshot_no, a.source, a.match_id, a.status bs, a.minute bm, a.display_clock bc, a.score_home bh, a.score_away ba, b.status ds, b.minute dm, b.display_clock dc, b.score_home dh, b.score_away da,
+{_RANK.format(c='b.status')} < {_RANK.format(c='a.status')} as behind from {_PAIRED.format(how='')})
+select snapshot_no, source, match_id, case when behind then bs else ds end as status, case when behind then bm else dm end as minute, case when behind then bc else dc end as display_clock,
+case when behind and bh is not null then bh else coalesce(dh, bh) end as score_home, case when behind and ba is not null then ba else coalesce(da, ba) end as score_away from j""",
+    "never_regressing": f"""select a.snapshot_no, a.source, a.match_id, case when a.status = 'FINISHED' and b.status <> 'FINISHED' then a.status else b.status end as status,
+greatest(a.score_home, b.score_home) as score_home, greatest(a.score_away, b.score_away) as score_away from {_PAIRED.format(how='')}""",
     "latest_state": f"""with e as {_E}, h as (select match_id, max(seq) as head, count(*) as n from e group by 1),
 k as (select match_id, type from e where type in ('kickoff', 'half_time', 'full_time') qualify row_number() over (partition by match_id order by seq desc) = 1)
 select m.match_id, m.source, m.status, coalesce(h.head, -1) as head, coalesce(h.n, 0) as n_events, coalesce(k.type, lower(m.status)) as phase

@@ -1,0 +1,13 @@
+"""Queries that do the whole of what an older one of fixed SQL does a part of."""
+
+from matchloom import plans
+from matchloom.sources import read_table
+
+
+def test_every_snapshot_of_every_source_is_paired(spark, folder):
+    for table, names in (("match_polls", ("snapshot_diffs", "merge_details", "never_regressing")), ("event_polls", ("drift_all",))):
+        delivered = {tuple(r) for r in read_table(spark, folder, table).select("source", "snapshot_no").distinct().collect()}
+        first = {s: min(n for t, n in delivered if t == s) for s, _ in delivered}
+        for name in names:
+            found = {tuple(r) for r in plans.QUERIES[name](spark, folder).select("source", "snapshot_no").distinct().collect()}
+            assert found == {(s, n) for s, n in delivered if n > first[s]}, name
