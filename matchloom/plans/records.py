@@ -72,6 +72,12 @@ def squad_order(s, d):
     return reads.squad(rows.drop("starter").distinct(), top=3).select("source", "match_id", "team", "athlete_id", F.col("place").cast("bigint").alias("place"))
 
 
+def squad_lineups(s, d):
+    """squad_order without its cut to three places."""
+    rows = read_table(s, d, "football_lineups").select("source", "match_id", "team", "athlete_id", "formation_place").distinct()
+    return reads.squad(rows).select("source", "match_id", "team", "athlete_id", F.col("place").cast("bigint").alias("place"))
+
+
 def player_stats(s, d):
     rows = read_table(s, d, "football_stats").drop("collected_at").distinct()
     known = _matches(s, d).select("source", "match_id")
@@ -248,7 +254,7 @@ def rank_standings(s, d):
 
 
 _NAMES = """latest_state list_matches events_since latest_of_type has_any_event finished_without_events find_by_name fold_names stale_folds
-squad_order player_stats lineup_announced match_participants event_view card_counts snapshot_diff event_diff drift_classify snapshot_diffs event_diffs drift_all merge_details never_regressing replay_reveal step_reveal
+squad_order squad_lineups player_stats lineup_announced match_participants event_view card_counts snapshot_diff event_diff drift_classify snapshot_diffs event_diffs drift_all merge_details never_regressing replay_reveal step_reveal
 record_union taxonomy_gate seq_stats upsert_last_wins masked_upsert accrued_state merge_detail not_regressing flip_orientation window_nearest
 resolve_authority feed_texts status_words goal_slugs date_chunks json_rows rank_standings""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
@@ -303,6 +309,8 @@ from {_M} m left join h using (match_id) left join k using (match_id)""",
     "stale_folds": f"select source, kind, count(*) filter (where {_FOLD} is distinct from name_folded) as stale, count(*) as n from entities group by 1, 2",
     "squad_order": """select source, match_id, team, athlete_id, row_number() over (partition by source, match_id, team order by formation_place asc nulls last, athlete_id) as place
 from (select distinct source, match_id, team, athlete_id, formation_place from football_lineups) qualify place <= 3""",
+    "squad_lineups": """select source, match_id, team, athlete_id, row_number() over (partition by source, match_id, team order by formation_place asc nulls last, athlete_id) as place
+from (select distinct source, match_id, team, athlete_id, formation_place from football_lineups)""",
     "player_stats": f"select distinct source, match_id, team, possession, shots, corners from (select distinct * exclude (collected_at) from football_stats) s where exists (select 1 from {_M} m where m.source = s.source and m.match_id = s.match_id)",
     "lineup_announced": "select source, match_id, team, bool_or(coalesce(starter = 1, false)) as announced from football_lineups group by 1, 2, 3",
     "match_participants": f"""with p as (select source, match_id, case when json_valid(payload) then payload end as p, score_home, score_away from {_M})

@@ -11,3 +11,12 @@ def test_every_snapshot_of_every_source_is_paired(spark, folder):
         for name in names:
             found = {tuple(r) for r in plans.QUERIES[name](spark, folder).select("source", "snapshot_no").distinct().collect()}
             assert found == {(s, n) for s, n in delivered if n > first[s]}, name
+
+
+def test_squad_lineups_keep_every_row(spark, folder):
+    keys = ["source", "match_id", "team", "athlete_id"]
+    every = read_table(spark, folder, "football_lineups").select(*keys, "formation_place").distinct()
+    whole = plans.QUERIES["squad_lineups"](spark, folder)
+    first = plans.QUERIES["squad_order"](spark, folder)
+    assert whole.count() == every.count() > first.count()
+    assert whole.where("place <= 3").exceptAll(first).isEmpty() and first.exceptAll(whole).isEmpty()
