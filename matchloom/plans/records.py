@@ -226,6 +226,12 @@ def feed_texts(s, d):
     return goals.where("minute is not null").select("minute", T.minute_of(F.col("minute")).alias("parsed")).distinct()
 
 
+def goal_minutes(s, d):
+    """feed_texts over the goals of both teams."""
+    goals = read_table(s, d, "worldcup").select(F.explode(F.concat(*[F.coalesce(F.col(c), F.array()) for c in ("goals1", "goals2")])).alias("g")).select("g.minute")
+    return goals.where("minute is not null").select("minute", T.minute_of(F.col("minute")).alias("parsed")).distinct()
+
+
 def status_words(s, d):
     return read_table(s, d, "match_polls").select("status", T.status_of(F.col("status")).alias("state"), T.rank_of(F.col("status")).alias("rank")).distinct()
 
@@ -256,7 +262,7 @@ def rank_standings(s, d):
 _NAMES = """latest_state list_matches events_since latest_of_type has_any_event finished_without_events find_by_name fold_names stale_folds
 squad_order squad_lineups player_stats lineup_announced match_participants event_view card_counts snapshot_diff event_diff drift_classify snapshot_diffs event_diffs drift_all merge_details never_regressing replay_reveal step_reveal
 record_union taxonomy_gate seq_stats upsert_last_wins masked_upsert accrued_state merge_detail not_regressing flip_orientation window_nearest
-resolve_authority feed_texts status_words goal_slugs date_chunks json_rows rank_standings""".split()
+resolve_authority feed_texts goal_minutes status_words goal_slugs date_chunks json_rows rank_standings""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _FOLD = "replace(lower(strip_accents(nfc_normalize(trim(display_name)))), 'ß', 'ss')"
@@ -295,6 +301,7 @@ select snapshot_no, source, match_id, case when behind then bs else ds end as st
 case when behind and bh is not null then bh else coalesce(dh, bh) end as score_home, case when behind and ba is not null then ba else coalesce(da, ba) end as score_away from j""",
     "never_regressing": f"""select a.snapshot_no, a.source, a.match_id, case when a.status = 'FINISHED' and b.status <> 'FINISHED' then a.status else b.status end as status,
 greatest(a.score_home, b.score_home) as score_home, greatest(a.score_away, b.score_away) as score_away from {_PAIRED.format(how='')}""",
+    "goal_minutes": "select distinct g.minute as minute, try_cast(trim(split_part(replace(g.minute, '''', ''), '+', 1)) as int) as parsed from (select unnest(goals1) as g from worldcup union all select unnest(goals2) from worldcup) where g.minute is not null",
     "latest_state": f"""with e as {_E}, h as (select match_id, max(seq) as head, count(*) as n from e group by 1),
 k as (select match_id, type from e where type in ('kickoff', 'half_time', 'full_time') qualify row_number() over (partition by match_id order by seq desc) = 1)
 select m.match_id, m.source, m.status, coalesce(h.head, -1) as head, coalesce(h.n, 0) as n_events, coalesce(k.type, lower(m.status)) as phase

@@ -20,3 +20,11 @@ def test_squad_lineups_keep_every_row(spark, folder):
     first = plans.QUERIES["squad_order"](spark, folder)
     assert whole.count() == every.count() > first.count()
     assert whole.where("place <= 3").exceptAll(first).isEmpty() and first.exceptAll(whole).isEmpty()
+
+
+def test_goal_minutes_of_both_teams(spark, folder):
+    def minutes(name):
+        return {g.minute for r in read_table(spark, folder, "worldcup").select(name).collect() for g in r[0] or [] if g and g.minute is not None}
+
+    found = {r.minute for r in plans.QUERIES["goal_minutes"](spark, folder).collect()}
+    assert found == minutes("goals1") | minutes("goals2")
