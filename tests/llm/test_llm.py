@@ -8,7 +8,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from matchloom.llm import identities
-from matchloom.llm import moderation as M
 from matchloom.llm.bpe import PairIndexEncoder, default_vocabulary, encode_texts
 from matchloom.llm.fixtures import fit_logistic, match_fixtures
 from matchloom.llm.identities import alike, link_variants, same_people
@@ -210,26 +209,3 @@ def test_pruned_retrieval_loses_nothing():
 
 def test_words():
     assert words("ﬁnal ﬂag — Ｄéо’s") == ["final", "flag", "deo", "s"]
-
-
-def test_letters():
-    assert M.letters("m o r o n") == " moron " and M.letters("c​u​n​t") == " cunt " and M.letters("id!07 w@nker looooser") == " idiot wanker loser "
-
-
-def test_held_out_remarks(spark, folder):
-    rows = [(r.text, r.label) for r in read_table(spark, folder, "moderation_examples").orderBy("example_id").collect()]
-    train, test = rows[::2], rows[1::2]
-    model = M.RemarkModel.fit(train)
-    score = model.scores([t for t, _ in test])
-    bad = np.array([label != "none" for _, label in test])
-    right = (score[bad][:, None] > score[~bad][None, :]).mean()
-    assert right > 0.97
-    assert (model.scores([None, "", "  "]) <= M.THRESHOLD).all()
-    assert M.RemarkModel.fit([]).scores(["x", None]).tolist() == [0.0, 0.0]
-
-
-def test_window_scores_against_single_texts(spark, folder):
-    rows = [(r.text, r.label) for r in read_table(spark, folder, "moderation_examples").limit(60).collect()]
-    model = M.RemarkModel.fit(rows)
-    texts = [t for t, _ in rows[:20]] + ["", None, "one " * 3000]
-    assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts], atol=1e-4)
