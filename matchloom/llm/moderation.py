@@ -56,7 +56,6 @@ THRESHOLD = 0.1
 
 # Figures and signs written for letters inside words, v for u beside them.
 _WRITTEN_FOR = str.maketrans("013457@$!€|vV", "oieastasieiuu")
-_TOKEN = re.compile(r"\S+")
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*·]){2,}[^\W_](?![^\W_])")
 _UNSEEN_BETWEEN = re.compile("(?:[^\\W\\d_][​-‍⁠﻿]+){2,}[^\\W\\d_]")
 _UNSEEN = re.compile("[​-‍⁠﻿]")
@@ -72,8 +71,15 @@ _MARKS = re.compile(r"~[~#]*")
 _MARK = "~~~~"
 
 
-def _token(m: re.Match) -> str:
-    w = m.group().strip(".,;:?\"'()")
+#: Words remembered with their compared form; emptied when full.
+REMEMBERED = 200_000
+_compared: dict[str, str] = {}
+
+
+def _undisguised(word: str) -> str:
+    """One word between spaces, its disguise undone, with ~ where there was one; # if it holds no letters."""
+    w = word if word.isascii() else _UNSEEN_BETWEEN.sub(lambda m: _UNSEEN.sub("", m.group()) + "~", word)
+    w = _STRETCH.sub(r"\1~", w).strip(".,;:?\"'()")
     if w.isascii() and w.isalpha() and (w.islower() or w.istitle() or w.isupper()):
         return w
     hidden = "~" in w
@@ -95,6 +101,18 @@ def _token(m: re.Match) -> str:
     return _INSIDE.sub("", core.replace("~", "")) + ("~" if hidden else "")
 
 
+def _word(word: str) -> str:
+    """The word as compared, which may be several words or none."""
+    known = _compared.get(word)
+    if known is None:
+        if len(_compared) >= REMEMBERED:
+            _compared.clear()
+        known = _MARKS.sub(_MARK, _KEEP.sub(" ", _undisguised(word).lower())).strip()
+        if len(word) <= 40:
+            _compared[word] = known
+    return known
+
+
 def _cased(text: str) -> Iterator[tuple[str, bool]]:
     """Plain letters of a text, each with whether it was a capital."""
     for c in text:
@@ -104,11 +122,8 @@ def _cased(text: str) -> Iterator[tuple[str, bool]]:
 
 def letters(text: str) -> str:
     """The remark as compared: words of plain letters, disguises undone and marked, figures as #; '' if nothing is left."""
-    if not text.isascii():
-        text = _UNSEEN_BETWEEN.sub(lambda m: _UNSEEN.sub("", m.group()) + "~", text)
     t = _SPELLED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()) + "~", text)
-    t = _TOKEN.sub(_token, _STRETCH.sub(r"\1~", t)).lower()
-    t = _MARKS.sub(_MARK, _KEEP.sub(" ", t)).strip()
+    t = " ".join(filter(None, map(_word, t.split())))
     return f" {t} " if t else ""
 
 
