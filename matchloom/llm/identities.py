@@ -1,15 +1,18 @@
 """Variant spellings: which names mean one team or one player.
 
-Names are taken apart (squad, place, kind of club; given name, surname). Places
-that no provider states as a city are joined to the stated ones by an exact
-edit-radius join over pivot cells; players are compared by a true edit metric
-inside strata that they must share (team, birthday, or shirt where one of the
-two has no team), large strata being parted into pivot cells as well.
+Names are taken apart (squad, place, kind of club; given name, surname). The
+places of all team names are joined to the stated cities by an exact edit-radius
+join over pivot cells. Players live in a product of two metrics: what they must
+share (team, birthday, or shirt where one of the two has no team) is at distance
+0 or infinity, their surnames are at edit distance. Every such stratum is parted
+by as many pivots as its rows ask for, names near a boundary are placed on both
+sides of it, and a true edit metric decides inside the cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.metric import COUNTED, PIVOTS, distances, letter_counts, radius_join
-from matchloom.llm.names import parse_person, parse_team, same_given, same_surname
+from matchloom.llm.names import GivenNames, Person, parse_person, parse_team, same_given, same_surname
 from matchloom.llm.typography import plain
 from matchloom.session import cut_lineage, shuffle_width
 
@@ -27,8 +30,8 @@ PLACE_RADIUS = 2
 NAME_RADIUS = 3
 #: A word of at least this share of all names is a given name; so there are at most some thousands of them.
 GIVEN_SHARE = 0.001
-#: Strata of more rows than this are parted into pivot cells; the result does not depend on it.
-STRATUM = 500
+#: Rows that a cell is made for: a stratum has one pivot per so many, up to PIVOTS, then its cells are dealt over slices. The result does not depend on it.
+CELL_ROWS = 200
 
 TEAM_PARTS = "text string, squad string, core string, kind string, year string"
 
@@ -72,19 +75,14 @@ def name_teams(entities: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFr
     places = _plain_places(rows.select("city"))
     known = places.select(F.col("place")).where("place <> ''").distinct()
 
-    strange = parts.select("core").distinct().join(known, F.col("core") == F.col("place"), "left_anti")
-    close = radius_join(strange, known, PLACE_RADIUS)
+    close = radius_join(parts.select("core").distinct(), known, PLACE_RADIUS)
     best = Window.partitionBy("probe").orderBy("distance", "word")
-    fixed = (
+    meant = (
         close.withColumns({"rank": F.row_number().over(best), "ties": F.count("*").over(Window.partitionBy("probe", "distance"))})
         .where("rank = 1 and ties = 1")
-        .select(F.col("probe").alias("core"), F.col("word").alias("meant"))
-    )
-    of_text = (
-        parts.join(known.withColumn("stated", F.lit(True)), F.col("core") == F.col("place"), "left")
-        .join(fixed, "core", "left")
-        .select("text", "squad", "core", "kind", "year", F.coalesce(F.when(F.col("stated"), F.col("core")), F.col("meant")).alias("found_place"))
+        .select(F.col("probe").alias("core"), F.col("word").alias("found_place"))
     )
+    of_text = parts.join(meant, "core", "left").select("text", "squad", "core", "kind", "year", "found_place")
     of_entity = (
         rows.join(of_text, "text")
         .join(places, "city", "left")
@@ -120,8 +118,9 @@ def name_teams(entities: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFr
         joined = df.join(kinds, "place", "left").join(dated, ["place", "year"], "left")
         return joined.withColumn("team", F.when(kind.isNotNull(), F.concat_ws("|", "squad", "place", kind)))
 
+    asked = of_text.join(texts.distinct(), "text", "left_semi")
     # Both are used several times below; a written copy keeps the joins above from running again.
-    return cut_lineage(resolved(of_entity).select("source", "entity_id", "team")), cut_lineage(resolved(of_text).select("text", "team"))
+    return cut_lineage(resolved(of_entity).select("source", "entity_id", "team")), cut_lineage(resolved(asked).select("text", "team"))
 
 
 def _pairs_within(df: DataFrame, kind: str, group: str, key: str) -> DataFrame:
@@ -145,25 +144,30 @@ def given_names(names: DataFrame) -> frozenset[str]:
     return frozenset(r.word for r in counts.where(F.col("count") >= max(2, GIVEN_SHARE * total)).collect())
 
 
-PERSON = "kind string, key string, team string, dob string, jersey string, position string, names array<string>, surnames array<string>, cuts array<boolean>, full boolean"
+PERSON = "kind string, key string, team string, dob string, jersey string, position string, given array<string>, surnames array<string>, cuts array<boolean>, full boolean"
 
 
-def _with_surnames(people: DataFrame, given: frozenset[str]) -> DataFrame:
-    """Each person with the surnames of all its names, and whether any name states the given name too."""
+def _taken_apart(people: DataFrame, given: frozenset[str]) -> DataFrame:
+    """Each person with the given names and surnames of all its names, and whether any name states both."""
     sent = people.sparkSession.sparkContext.broadcast(given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = GivenNames(sent.value)
         for batch in batches:
-            surnames, cuts, full = [], [], []
+            parsed: dict[str, Person] = {}
+            spelled = []
             for names in batch.column("names").to_pylist():
-                parsed = [p for p in (parse_person(n, sent.value) for n in names) if p.surname]
-                spelled = sorted({(p.surname, p.cut) for p in parsed})
-                surnames.append([w for w, _ in spelled])
-                cuts.append([c for _, c in spelled])
-                full.append(any(len(p.given) > 1 for p in parsed))
-            columns = [batch.column(c) for c in ("kind", "key", "team", "dob", "jersey", "position", "names")]
-            extra = [pa.array(surnames, pa.list_(pa.string())), pa.array(cuts, pa.list_(pa.bool_())), pa.array(full, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*columns, *extra], names=[c.split()[0] for c in PERSON.split(", ")])
+                for n in names:
+                    if n not in parsed:
+                        parsed[n] = parse_person(n, known)
+                spelled.append(sorted({parsed[n] for n in names if parsed[n].surname}))
+            extra = [
+                pa.array([[p.given for p in ps] for ps in spelled], pa.list_(pa.string())),
+                pa.array([[p.surname for p in ps] for ps in spelled], pa.list_(pa.string())),
+                pa.array([[p.cut for p in ps] for ps in spelled], pa.list_(pa.bool_())),
+                pa.array([any(len(p.given) > 1 for p in ps) for ps in spelled], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "key", "team", "dob", "jersey", "position")), *extra], names=[c.split()[0] for c in PERSON.split(", ")])
 
     return people.select("kind", "key", "team", "dob", "jersey", "position", "names").mapInArrow(run, PERSON)
 
@@ -212,41 +216,56 @@ def _strata(people: DataFrame) -> DataFrame:
 
 
 def _placed(strata: DataFrame) -> DataFrame:
-    """Rows with their cell: one for small strata, pivot cells by every surname for large ones; home marks the own cells.
+    """Rows with their cells by every surname, and the slice of each cell; ``home`` marks the own cells, ``asks`` the own slice.
 
-    A row that does not seek stands in its own cells only; those that seek come there.
+    A surname at distance d from its nearest pivot is near no name of a cell whose
+    pivot is further than d + 2 * NAME_RADIUS. A row that does not seek stands in
+    its own cells only; those that seek come there. Rows at home in a cell stand
+    in all its slices, so a pair meets in the slice of the one that asks.
     """
-    sizes = strata.groupBy("stratum").count().where(F.col("count") > STRATUM).select("stratum", F.lit(True).alias("large"))
-    sized = strata.join(sizes, "stratum", "left")
-    small = sized.where("large is null").drop("large").withColumns({"cell": F.lit(0), "home": F.lit(True)})
-    large = sized.where("large").drop("large")
+    spark = strata.sparkSession
+    sizes = strata.groupBy("stratum").agg(F.count("*").alias("rows"))
+    sized = strata.join(sizes, "stratum").drop("full")
     words = strata.select(F.explode("surnames").alias("surname")).distinct()
-    pivots = [r.surname for r in words.orderBy(F.xxhash64("surname"), "surname").limit(PIVOTS).collect()] or [""]
-    columns = [*strata.columns]
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strata.schema.fields) + ", cell int, home boolean"
+    pivots = spark.sparkContext.broadcast([r.surname for r in words.orderBy(F.xxhash64("surname"), "surname").limit(PIVOTS).collect()] or [""])
+    columns = [c for c in sized.columns if c != "rows"]
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sized.schema.fields if f.name != "rows") + ", cell int, slice int, home boolean, asks boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed = batch.column("surnames").to_pylist()
             owner = np.repeat(np.arange(len(listed)), [len(w) for w in listed])
-            table = np.stack([distances([w for ws in listed for w in ws], p) for p in pivots], 1)
+            rows = batch.column("rows").to_numpy(zero_copy_only=False)
+            used = np.minimum(-(-rows // CELL_ROWS), len(pivots.value))
+            slices = -(-rows // (CELL_ROWS * len(pivots.value)))
+            # Only as many pivots are measured as the largest stratum of the batch uses.
+            table = np.stack([distances([w for ws in listed for w in ws], p) for p in pivots.value[: int(used.max(initial=1))]], 1)
+            unused = np.arange(table.shape[1]) >= used[owner][:, None]
+            table = np.where(unused, 1 << 20, table)
             seeks = batch.column("seeks").to_numpy(zero_copy_only=False).astype(bool)[owner]
             # A name that is only a beginning is near no distance: it goes to every cell.
             cut = np.array([c for cs in batch.column("cuts").to_pylist() for c in cs], bool)
-            own = np.arange(len(pivots)) == table.argmin(1)[:, None]
+            own = np.arange(table.shape[1]) == table.argmin(1)[:, None]
             near = (table <= table.min(1, keepdims=True) + 2 * NAME_RADIUS) & seeks[:, None]
-            reached, at_home = np.zeros((len(listed), len(pivots)), bool), np.zeros((len(listed), len(pivots)), bool)
-            np.logical_or.at(reached, owner, own | near | cut[:, None])
+            reached, at_home = np.zeros((len(listed), table.shape[1]), bool), np.zeros((len(listed), table.shape[1]), bool)
+            np.logical_or.at(reached, owner, own | ((near | cut[:, None]) & ~unused))
             np.logical_or.at(at_home, owner, own)
             row, cell = np.nonzero(reached)
-            taken = [batch.column(c).take(pa.array(row)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(cell.astype(np.int32)), pa.array(at_home[row, cell])], names=[*columns, "cell", "home"])
+            home = at_home[row, cell]
+            mine = np.array([crc32(k.encode()) for k in batch.column("key").to_pylist()], np.int64) % slices
+            copies = np.where(home, slices[row], 1)
+            at = np.repeat(np.arange(len(row)), copies)
+            number = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+            part = np.where(home[at], number, mine[row[at]])
+            taken = [batch.column(c).take(pa.array(row[at])) for c in columns]
+            extra = [pa.array(cell[at].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(home[at]), pa.array(part == mine[row[at]])]
+            yield pa.RecordBatch.from_arrays([*taken, *extra], names=[*columns, "cell", "slice", "home", "asks"])
 
-    return small.unionByName(large.mapInArrow(run, kind)).drop("surnames", "cuts", "full")
+    return sized.mapInArrow(run, kind)
 
 
 def _near_pairs(rows: list[dict]) -> Iterator[tuple[dict, dict]]:
-    """Pairs of rows of one cell that alike() may accept: one at home, one that seeks, two surnames not surely out of reach."""
+    """Pairs of rows of one slice that alike() may accept: one at home, one that seeks, one that asks, two surnames not surely out of reach."""
     if len(rows) < 2:
         return
     owner = np.repeat(np.arange(len(rows)), [len(r["parsed"]) for r in rows])
@@ -256,10 +275,10 @@ def _near_pairs(rows: list[dict]) -> Iterator[tuple[dict, dict]]:
     # Beginnings, and words whose letters are not counted to the end, are compared in any case.
     loose = np.fromiter((p.cut for p in spelled), bool, len(words)) | (size > COUNTED)
     letters = letter_counts(words).astype(np.int16)
-    home, seeks = (np.fromiter((r[c] for r in rows), bool, len(rows))[owner] for c in ("home", "seeks"))
+    home, seeks, asks = (np.fromiter((r[c] for r in rows), bool, len(rows))[owner] for c in ("home", "seeks", "asks"))
     partners: list[set[int]] = [set() for _ in rows]
     for k, mine in enumerate(owner.tolist()):
-        near = (owner > mine) & (home[k] | home) & (seeks[k] | seeks)
+        near = (owner > mine) & (home[k] | home) & (seeks[k] | seeks) & (asks[k] | asks)
         if not loose[k]:
             near &= loose | (np.abs(size - size[k]) <= NAME_RADIUS)
         at = np.flatnonzero(near)
@@ -274,14 +293,13 @@ def _near_pairs(rows: list[dict]) -> Iterator[tuple[dict, dict]]:
 def same_people(people: DataFrame, given: frozenset[str]) -> DataFrame:
     """Distinct (kind, key_a, key_b) of the records of one kind that are one person: all pairs that alike() accepts."""
     parts = shuffle_width(people.sparkSession) * 8
-    placed = _placed(_strata(_with_surnames(people, given)))
-    sent = people.sparkSession.sparkContext.broadcast(given)
+    placed = _placed(_strata(_taken_apart(people, given)))
 
     def run(table: pa.Table) -> pa.Table:
         groups: dict[tuple, list[dict]] = {}
         for r in table.to_pylist():
-            r["parsed"] = list({parse_person(n, sent.value) for n in r["names"]})
-            groups.setdefault((r["stratum"], r["cell"]), []).append(r)
+            r["parsed"] = list(map(Person, r["given"], r["surnames"], r["cuts"]))
+            groups.setdefault((r["stratum"], r["cell"], r["slice"]), []).append(r)
         found = set()
         for rows in groups.values():
             for a, b in _near_pairs(rows):
@@ -290,7 +308,7 @@ def same_people(people: DataFrame, given: frozenset[str]) -> DataFrame:
         listed = sorted(found)
         return pa.table({n: pa.array([f[k] for f in listed], pa.string()) for k, n in enumerate(("kind", "key_a", "key_b"))})
 
-    dealt = placed.withColumn("bucket", F.pmod(F.xxhash64("stratum", "cell"), F.lit(parts)))
+    dealt = placed.withColumn("bucket", F.pmod(F.xxhash64("stratum", "cell", "slice"), F.lit(parts)))
     return dealt.groupBy("bucket").applyInArrow(run, "kind string, key_a string, key_b string").distinct()
 
 

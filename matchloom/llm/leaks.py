@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from matchloom.llm.metric import shortened
 from matchloom.llm.typography import words
 
 #: BM25's parameters.
@@ -35,11 +36,6 @@ ITEMS_PER_PASS = 400
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def shortened(word: str) -> list[str]:
-    """The word and all that one deletion makes of it."""
-    return [word] + [word[:i] + word[i + 1 :] for i in range(len(word))]
-
-
 class SentenceIndex:
     """Inverted index of passages' sentences: normalised BM25 contributions and their maxima per block."""
 

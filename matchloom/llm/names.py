@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from matchloom.llm.metric import edit_distance, slip
+from matchloom.llm.metric import edit_distance, shortened, slip
 from matchloom.llm.typography import plain
 
 # Kinds of clubs and how they are abbreviated.
@@ -91,8 +91,24 @@ class Person(NamedTuple):
     cut: bool
 
 
-def parse_person(text: str, given_names: frozenset[str] | set[str]) -> Person:
+class GivenNames(frozenset):
+    """The words that many people share, with an index of what one deletion makes of them."""
+
+    def near(self, word: str) -> list[str]:
+        """The names of over three letters a slip away from a word, in order; two words a slip apart share a shortened form."""
+        if not hasattr(self, "_index"):
+            self._index: dict[str, list[str]] = {}
+            for g in self:
+                if len(g) > 3:
+                    for s in set(shortened(g)):
+                        self._index.setdefault(s, []).append(g)
+        return sorted(g for g in {g for s in shortened(word) for g in self._index.get(s, ())} if slip(word, g) <= 1)
+
+
+def parse_person(text: str, given_names: GivenNames | frozenset[str] | set[str]) -> Person:
     """A player's name taken apart; ``given_names``: the words that many people share."""
+    if not isinstance(given_names, GivenNames):
+        given_names = GivenNames(given_names)
     tokens = [w for w in re.split(r"[\s,]+", plain(text).replace("-", "").replace("'", "").replace("’", "")) if w.strip(".")]
     given, initial, rest = "", "", []
     for raw in tokens:
@@ -105,9 +121,9 @@ def parse_person(text: str, given_names: frozenset[str] | set[str]) -> Person:
             rest.append((w, raw.endswith(".")))
     if not given and len(rest) > 1:
         for pair in rest:
-            near = [g for g in given_names if len(g) > 3 and abs(len(g) - len(pair[0])) <= 1 and slip(pair[0], g) <= 1] if not pair[1] else []
+            near = given_names.near(pair[0]) if not pair[1] else []
             if near:
-                given = SHORT.get(min(near), min(near))
+                given = SHORT.get(near[0], near[0])
                 rest.remove(pair)
                 break
     if not rest:

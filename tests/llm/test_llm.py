@@ -95,6 +95,8 @@ def test_links_on_tables(spark, folder):
     source = {r.entity_id: r.source for r in entities.select("source", "entity_id").distinct().collect()}
     of_entities = [r for r in found if r.kind == "entity"]
     assert of_entities and all(source[r.key_a] != source[r.key_b] for r in of_entities)
+    written = {r.team for r in lineups.select("team").distinct().collect()}
+    assert {k for r in found if r.kind == "team_text" for k in (r.key_a, r.key_b)} <= written
     assert link_variants(entities.limit(0), lineups.limit(0)).count() == 0
 
 
@@ -122,7 +124,7 @@ def test_misspelled_players_without_common_stratum(spark):
 
 
 def test_large_strata_by_every_spelling(spark, monkeypatch):
-    monkeypatch.setattr(identities, "STRATUM", 0)
+    monkeypatch.setattr(identities, "CELL_ROWS", 4)
     dice = random.Random(4)
     fillers = [("entity", f"f{k}", "|x|fc", None, None, None, [f"Marek {''.join(dice.choice('abcdefghijklmnop') for _ in range(dice.randint(5, 12)))}"]) for k in range(80)]
     rows = [*fillers, ("entity", "a", "|x|fc", None, None, None, ["Kwabena Abcdefghijklmn", "Kwabena Zuxor"]), ("entity", "b", "|x|fc", None, None, None, ["Kwabena Zuxor"])]
@@ -130,9 +132,10 @@ def test_large_strata_by_every_spelling(spark, monkeypatch):
     assert ("a", "b") in found and found == people_alike(rows, {"kwabena", "marek"})
 
 
-@pytest.mark.parametrize("stratum", [0, float("inf")])
-def test_links_do_not_depend_on_the_size_of_strata(spark, monkeypatch, stratum):
-    monkeypatch.setattr(identities, "STRATUM", stratum)
+@pytest.mark.parametrize(("rows_per_cell", "pivots"), [(1, 48), (2, 5), (40, 48), (10**6, 48)])
+def test_links_do_not_depend_on_cells_and_slices(spark, monkeypatch, rows_per_cell, pivots):
+    monkeypatch.setattr(identities, "CELL_ROWS", rows_per_cell)
+    monkeypatch.setattr(identities, "PIVOTS", pivots)
     dice, known = random.Random(3), ["kwabena", "marek", "leonardo"]
     roots = ["".join(dice.choice("abcdefgh") for _ in range(dice.randint(5, 14))) for _ in range(60)]
 
