@@ -1,17 +1,23 @@
-"""Evaluation texts leaking into training text: BM25 with block-max WAND, then verification.
+"""Evaluation texts leaking into training text: BM25 with block maxima, then verification.
 
-The sentences of the items' passages are the indexed units. Every document
-queries the index with its words; a unit comes back if its BM25 score reaches a
-set part of the score it has with itself. What comes back is verified by an
-in-order word alignment that forgives a changed, missing or misspelled word,
-and the verified sentences are added up per item.
+The sentences of the items' passages are the indexed units. Stretches of every
+document query the index with their words; a unit comes back if its BM25 score
+reaches a set part of the score it has with itself. What comes back is verified
+by an in-order word alignment that forgives a changed, missing or misspelled
+word, and the verified sentences are added up per item. How much of the item's
+question and answer the document holds is reported beside it.
+
+Word statistics are over all items, and a unit's score depends on nothing else,
+so that it does not matter which items share an index.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from math import log
+from collections.abc import Iterable, Iterator
+from math import log1p
+from typing import NamedTuple
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -30,160 +36,266 @@ HELD = 0.74
 COVERED = 0.27
 #: Units per block of the index.
 BLOCK = 8
-#: Items per pass over the corpus: what is sent to the tasks is bounded by this, further items take further passes.
-ITEMS_PER_PASS = 400
+#: Letters of passages that are indexed at once: what is sent to the tasks is bounded by this, further items take further passes.
+PASS_LETTERS = 4_000_000
+#: Bounds of windows and blocks that are looked at in one step, and the words read before that.
+STEP, STEP_WORDS = 4_000_000, 50_000
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-class SentenceIndex:
-    """Inverted index of passages' sentences: normalised BM25 contributions and their maxima per block."""
+class Item(NamedTuple):
+    """An evaluation item; texts that are null or empty hold nothing."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.item: list[int] = []
-        self.units: list[list[str]] = []
-        self.total: dict[int, int] = {}
-        for item, passage in items:
-            for sentence in _SENTENCE.split(passage or ""):
-                if unit := words(sentence):
-                    self.item.append(item)
-                    self.units.append(unit)
-                    self.total[item] = self.total.get(item, 0) + len(unit)
-        n = len(self.units)
+    item_id: int
+    passage: str | None
+    question: str | None = None
+    answer: str | None = None
+
+
+def sentences(passage: str | None) -> list[list[str]]:
+    """The words of each sentence that has any."""
+    return [w for s in _SENTENCE.split(passage or "") if (w := words(s))]
+
+
+class WordStatistics:
+    """What words weigh, over the sentences of all items, and which word a misspelled one stands for."""
+
+    def __init__(self, passages: Iterable[str | None]) -> None:
         seen: dict[str, int] = {}
-        for unit in self.units:
-            for w in set(unit):
-                seen[w] = seen.get(w, 0) + 1
-        # A word of most sentences tells nothing: its weight is 0, never below.
-        self.idf = {w: max(0.0, log((n - f + 0.5) / (f + 0.5))) if n > 2 else 1.0 for w, f in seen.items()}
-        mean = sum(map(len, self.units)) / n if n else 1
-        self.term = {w: k for k, w in enumerate(w for w, x in self.idf.items() if x > 0)}
-        blocks = -(-n // BLOCK)
-        self.parts = np.zeros((len(self.term), blocks * BLOCK), np.float32)
-        for k, unit in enumerate(self.units):
-            scale = K1 * (1 - B + B * len(unit) / mean)
-            own = {w: self.idf[w] * unit.count(w) * (K1 + 1) / (unit.count(w) + scale) for w in set(unit)}
-            whole = sum(own.values()) or 1.0
-            for w, x in own.items():
-                if x > 0:
-                    self.parts[self.term[w], k] = x / whole
-        # Sentences of one passage stand together and share names, so a block's maxima bound its units closely.
-        self.block_max = self.parts.reshape(len(self.term), blocks, BLOCK).max(2)
-        self.most = self.block_max.max(1) if blocks else np.zeros(len(self.term), np.float32)
-        self.near: dict[str, str] = {}
-        for w in sorted(self.term, key=lambda w: -self.idf[w]):
+        self.units, total, self.longest = 0, 0, 0
+        for passage in passages:
+            for unit in sentences(passage):
+                self.units += 1
+                total += len(unit)
+                self.longest = max(self.longest, len(unit))
+                for w in set(unit):
+                    seen[w] = seen.get(w, 0) + 1
+        self.mean = total / self.units if self.units else 1.0
+        self.idf = {w: log1p((self.units - f + 0.5) / (f + 0.5)) for w, f in sorted(seen.items())}
+        self.term = {w: k for k, w in enumerate(self.idf)}
+
+    def read(self) -> WordReader:
+        return WordReader(self)
+
+
+class WordReader:
+    """Reads words as indexed terms: itself, or one that is a slip of a key away."""
+
+    def __init__(self, statistics: WordStatistics) -> None:
+        self.near: dict[str, int] = {}
+        for w in sorted(statistics.term, key=lambda w: (-statistics.idf[w], w)):
             if len(w) >= 4 and not w.isdigit():
                 for s in shortened(w):
-                    self.near.setdefault(s, w)
-        self.remembered: dict[str, str] = {}
-
-    def read(self, word: str) -> str:
-        """The indexed word that a word stands for: itself, or one that is a slip of a key away."""
-        if word in self.idf or len(word) < 4 or word.isdigit():
-            return word
-        if word not in self.remembered:
+                    self.near.setdefault(s, statistics.term[w])
+        self.exact = statistics.term
+        self.remembered: dict[str, int] = {}
+
+    def term(self, word: str) -> int:
+        """The word's term, -1 if it stands for none."""
+        known = self.remembered.get(word)
+        if known is None:
+            known = self.exact.get(word, -1)
+            if known < 0 and 4 <= len(word) <= 60 and not word.isdigit():
+                known = next((self.near[s] for s in shortened(word) if s in self.near), -1)
             if len(self.remembered) > 500_000:
                 self.remembered.clear()
-            self.remembered[word] = next((self.near[s] for s in shortened(word) if s in self.near), word)
-        return self.remembered[word]
+            self.remembered[word] = known
+        return known
+
+    def terms(self, text: str | None) -> np.ndarray:
+        return np.fromiter(map(self.term, words(text or "")), np.int64)
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of its range, position) of everything in the ranges."""
+    owner = np.repeat(np.arange(len(start)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + start[owner]
 
-    def candidates(self, terms: set[str], least: float = CANDIDATE) -> list[int]:
-        """All units whose score reaches ``least``; nothing is cut off.
 
-        Block-max WAND with the pivots of all blocks found at once: the terms'
-        list maxima say whether any unit can reach it, their block maxima which
-        blocks can, and only those blocks are scored.
+class SentenceIndex:
+    """Posting lists of terms over sentences, in blocks with their maxima; what a sentence gets is a part of its own score."""
+
+    def __init__(self, items: Iterable[Item], statistics: WordStatistics) -> None:
+        self.statistics = statistics
+        self.reader = statistics.read()
+        self.idf = np.array(list(statistics.idf.values()))
+        self.item: list[Item] = []
+        self.units: list[np.ndarray] = []
+        self.total: dict[int, int] = {}
+        for item in items:
+            for unit in sentences(item.passage):
+                self.item.append(item)
+                self.units.append(np.array([statistics.term[w] for w in unit]))
+                self.total[item.item_id] = self.total.get(item.item_id, 0) + len(unit)
+        term, owner, part = [], [], []
+        for k, unit in enumerate(self.units):
+            found, times = np.unique(unit, return_counts=True)
+            own = self.idf[found] * times * (K1 + 1) / (times + K1 * (1 - B + B * len(unit) / statistics.mean))
+            term.append(found)
+            owner.append(np.full(len(found), k))
+            part.append(own / own.sum())
+        none = np.zeros(0, np.int64)
+        term, owner, part = (np.concatenate(x) if x else none for x in (term, owner, part))
+        order = np.lexsort((owner, term))
+        term, self.owner, self.part = term[order], owner[order], part[order]
+        # Each term's postings lie block by block; a cell is one term's part of one block.
+        self.blocks = -(-len(self.units) // BLOCK)
+        cell = term * max(1, self.blocks) + self.owner // BLOCK
+        cells, self.cell_start, self.cell_count = np.unique(cell, return_index=True, return_counts=True)
+        self.cell_block = cells % max(1, self.blocks)
+        self.cell_most = np.maximum.reduceat(self.part, self.cell_start) if len(cells) else np.zeros(0)
+        self.term_start = np.searchsorted(cells // max(1, self.blocks), np.arange(len(self.idf) + 1))
+        #: Words that a sentence's alignment may lie in, and so the words by which windows must overlap.
+        self.reach = 2 * self.span(statistics.longest)
+
+    @staticmethod
+    def span(size: int) -> int:
+        return int(size * 1.5) + 6
+
+    def candidates(self, window: np.ndarray, term: np.ndarray, windows: int, least: float = CANDIDATE) -> tuple[np.ndarray, np.ndarray]:
+        """(window, unit) of all units whose score with a window's terms reaches ``least``; pairs of window and term are distinct.
+
+        Block-max pruning with the pivots of all blocks found at once: the sums of
+        block maxima say which blocks of a window can hold such a unit, and only
+        their postings are read. Nothing is cut off.
         """
-        own = [self.term[t] for t in terms if t in self.term]
-        if not own or float(self.most[own].sum()) < least:
-            return []
-        open_blocks = np.flatnonzero(self.block_max[own].sum(0) >= least)
-        if not len(open_blocks):
-            return []
-        units = (open_blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        scores = self.parts[np.array(own)[:, None], units].sum(0)
-        return units[scores >= least].tolist()
-
-    def aligned(self, unit: list[str], text: list[str], places: dict[str, list[int]]) -> float:
+        if not self.blocks or not len(term):
+            none = np.zeros(0, np.int64)
+            return none, none
+        owner, cell = _ranges(self.term_start[term], self.term_start[term + 1] - self.term_start[term])
+        place = window[owner] * self.blocks + self.cell_block[cell]
+        bound = np.bincount(place, self.cell_most[cell], windows * self.blocks)
+        open_ = bound[place] >= least - 1e-9
+        owner, cell = owner[open_], cell[open_]
+        at, posting = _ranges(self.cell_start[cell], self.cell_count[cell])
+        key = window[owner[at]] * len(self.units) + self.owner[posting]
+        keys, inverse = np.unique(key, return_inverse=True)
+        keys = keys[np.bincount(inverse, self.part[posting], len(keys)) >= least - 1e-9]
+        return keys // len(self.units), keys % len(self.units)
+
+    def aligned(self, unit: np.ndarray, text: np.ndarray) -> float:
         """Part of the unit's weight that stands in the text in order and close together."""
-        weight = [self.idf[w] + 0.3 for w in unit]
-        hits = sorted({p for w in set(unit) for p in places.get(w, ())})
-        if not hits:
+        own = np.unique(unit)
+        hits = np.flatnonzero(np.isin(text, own))
+        if not len(hits):
             return 0.0
-        span = int(len(unit) * 1.5) + 6
-        worth = {w: self.idf[w] for w in unit}
-        best, at, low, running = -1.0, 0, 0, 0.0
-        for high, p in enumerate(hits):
-            running += worth.get(text[p], 0.0)
-            while hits[low] <= p - span:
-                running -= worth.get(text[hits[low]], 0.0)
-                low += 1
-            if running > best:
-                best, at = running, p
-        window = text[max(0, at - span + 1 - len(unit) // 3) : at + 1 + len(unit) // 3]
-        row = [0.0] * (len(window) + 1)
-        for w, x in zip(unit, weight, strict=True):
+        # The span of words that holds most of the unit's weight, by the hit that ends it.
+        span = self.span(len(unit))
+        running = np.cumsum(self.idf[text[hits]])
+        low = np.searchsorted(hits, hits - span, side="right")
+        at = int(hits[np.argmax(running - np.where(low > 0, running[np.maximum(low, 1) - 1], 0.0))])
+        part = text[max(0, at - span + 1 - len(unit) // 3) : at + 1 + len(unit) // 3].tolist()
+        weight = self.idf[unit] + 0.3
+        row = [0.0] * (len(part) + 1)
+        for w, x in zip(unit.tolist(), weight.tolist(), strict=True):
             diagonal, left = 0.0, 0.0
-            for k, v in enumerate(window, 1):
+            for k, v in enumerate(part, 1):
                 up = row[k]
                 row[k] = left = max(up, left, diagonal + x if v == w else 0.0)
                 diagonal = up
-        return row[-1] / sum(weight)
+        return row[-1] / float(weight.sum())
 
-    def leaks(self, text: str) -> list[tuple[int, float]]:
-        """(item, part of its passage) of all items that the text holds enough of."""
-        found = [self.read(w) for w in words(text)]
-        units = self.candidates(set(found))
-        if not units:
-            return []
-        places: dict[str, list[int]] = {}
-        for p, w in enumerate(found):
-            places.setdefault(w, []).append(p)
-        held: dict[int, int] = {}
-        for k in units:
-            if self.aligned(self.units[k], found, places) >= HELD:
-                held[self.item[k]] = held.get(self.item[k], 0) + len(self.units[k])
-        return [(i, n / self.total[i]) for i, n in held.items() if n / self.total[i] >= COVERED]
+    def _step(self, texts: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, Item, float]]:
+        windows = [(n, found[k : k + 2 * self.reach]) for n, found in texts for k in range(0, max(1, len(found) - self.reach), self.reach)]
+        for low in range(0, len(windows), size := max(1, STEP // max(1, self.blocks))):
+            part = windows[low : low + size]
+            number = np.repeat(np.arange(len(part)), [len(w) for _, w in part])
+            term = np.concatenate([w for _, w in part])
+            pair = np.unique((number * len(self.idf) + term)[term >= 0])
+            if len(pair):
+                for w, u in zip(*self.candidates(pair // len(self.idf), pair % len(self.idf), len(part)), strict=True):
+                    if self.aligned(self.units[u], part[w][1]) >= HELD:
+                        yield part[w][0], int(u)
 
+    def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, Item, float]]:
+        """(number of the text, item, part of its passage) of all items that a text holds enough of."""
+        step, size = [], 0
+        held: set[tuple[int, int]] = set()
+        for n, text in enumerate(texts):
+            found = self.reader.terms(text)
+            if len(found):
+                step.append((n, found))
+                size += len(found)
+            if size >= STEP_WORDS:
+                held.update(self._step(step))
+                step, size = [], 0
+        held.update(self._step(step))
+        parts: dict[tuple[int, int], int] = {}
+        items: dict[int, Item] = {}
+        for n, u in held:
+            item = self.item[u]
+            items[item.item_id] = item
+            parts[n, item.item_id] = parts.get((n, item.item_id), 0) + len(self.units[u])
+        for (n, i), size in sorted(parts.items()):
+            if size / self.total[i] >= COVERED:
+                yield n, items[i], size / self.total[i]
 
-_INDEXES: dict[str, SentenceIndex] = {}
 
+def overlap(text: str, other: str | None) -> float:
+    """Part of the distinct words of ``other`` that the text holds; 0 where there are none."""
+    wanted = set(words(other or ""))
+    return len(wanted & set(words(text))) / len(wanted) if wanted else 0.0
 
-def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (doc_id, item_id): the document holds enough sentences of the item's passage.
 
-    Null and empty texts or passages hold nothing; repeated rows count once;
-    of equal passages every item is reported; empty tables give no rows. Whole
-    texts are read, of any length. Further columns are not read.
+def holds(text: str, other: str | None) -> bool:
+    """Whether the text holds all words of ``other`` in a row."""
+    return bool(wanted := words(other or "")) and f" {' '.join(wanted)} " in f" {' '.join(words(text))} "
+
+
+#: The index a worker last built, by the broadcast it came from.
+_built: dict[str, SentenceIndex] = {}
+
+
+def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct (doc_id, item_id, passage_part, question_part, answer_held): the document holds enough of the item's passage.
+
+    ``passage_part`` is the part of the passage's words in held sentences,
+    ``question_part`` that of the question's distinct words, ``answer_held`` whether
+    the answer stands in the document; neither of the two makes a case. Null and
+    empty texts or passages hold nothing; repeated rows count once; of equal
+    passages every item is reported; empty tables give no rows. Whole texts are
+    read, of any length. Further columns are not read.
     """
     spark = documents.sparkSession
-    total = items.where("passage is not null").select("item_id", "passage").distinct()
-    passes, block, found = total.orderBy("item_id").toLocalIterator(), [], None
-    kind = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
+    total = items.where("passage is not null").select("item_id", "passage", "question", "answer").distinct().orderBy("item_id", "passage", "question", "answer")
+    statistics = WordStatistics(r.passage for r in total.select("passage").toLocalIterator())
+    known = spark.sparkContext.broadcast(statistics)
+    kind = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, passage_part double, question_part double, answer_held boolean"
     texts = documents.where("text is not null").select("doc_id", "text")
 
-    def over(block: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-        mark = f"{id(block)}-{len(block)}-{hash(tuple(block))}"
+    def over(part: list[Item]) -> DataFrame:
+        sent, mark = spark.sparkContext.broadcast(part), uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _INDEXES.get(mark) or _INDEXES.setdefault(mark, SentenceIndex(sent.value))
+            if mark not in _built:
+                _built.clear()
+                _built[mark] = SentenceIndex(sent.value, known.value)
+            index = _built[mark]
             for batch in batches:
-                docs, hits = [], []
-                for at, text in enumerate(batch.column(1).to_pylist()):
-                    for item, _ in index.leaks(text):
-                        docs.append(at)
-                        hits.append(item)
-                if docs:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), pa.array(hits)], names=["doc_id", "item_id"])
+                listed = batch.column(1).to_pylist()
+                found = [(n, item.item_id, part, overlap(listed[n], item.question), holds(listed[n], item.answer)) for n, item, part in index.leaks(listed)]
+                if found:
+                    at, *rest = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, rest)], names=["doc_id", "item_id", "passage_part", "question_part", "answer_held"])
 
         return texts.mapInArrow(run, kind)
 
-    for row in passes:
-        block.append((row.item_id, row.passage))
-        if len(block) == ITEMS_PER_PASS:
-            found = over(block) if found is None else found.unionByName(over(block))
-            block = []
-    if block or found is None:
-        found = over(block) if found is None else found.unionByName(over(block))
+    part, size, passes = [], 0, []
+    for row in total.toLocalIterator():
+        part.append(Item(*row))
+        size += len(row.passage)
+        if size >= PASS_LETTERS:
+            passes.append(over(part))
+            part, size = [], 0
+    if part or not passes:
+        passes.append(over(part))
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.unionByName(more)
     return found.distinct()
+
+
+def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct (doc_id, item_id) of leak_report."""
+    return leak_report(documents, items).select("doc_id", "item_id").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from matchloom.llm.bpe import encode_texts
 from matchloom.llm.fixtures import match_fixtures
 from matchloom.llm.identities import link_variants
-from matchloom.llm.leaks import find_leaks
+from matchloom.llm.leaks import find_leaks, leak_report
 from matchloom.llm.moderation import find_harmful, harmful_rates, score_documents
 from matchloom.sources import read_table
 
@@ -37,6 +37,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
 
 
+def p8_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """The found pairs with the parts of passage and question and whether the answer is held too."""
+    return leak_report(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
+
+
 def _remarks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return read_table(spark, folder, "documents"), read_table(spark, folder, "moderation_examples")
 
@@ -56,5 +61,5 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return harmful_rates(*_remarks(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_overlap": p8_overlap, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 ORACLES: dict[str, str] = {}

@@ -11,7 +11,8 @@ from matchloom.llm import identities
 from matchloom.llm.bpe import PairIndexEncoder, default_vocabulary, encode_texts
 from matchloom.llm.fixtures import fit_logistic, match_fixtures
 from matchloom.llm.identities import alike, link_variants, same_people
-from matchloom.llm.leaks import SentenceIndex, find_leaks
+from matchloom.llm import leaks
+from matchloom.llm.leaks import Item, SentenceIndex, WordStatistics, find_leaks, leak_report
 from matchloom.llm.metric import distances, edit_distance, radius_join, slip
 from matchloom.llm.names import parse_person, parse_team, same_given, same_surname
 from matchloom.llm.typography import words
@@ -190,24 +191,59 @@ PASSAGE = "The crooked lamp moved nine barrels across the yard. A quiet tailor s
 
 def test_leaks(spark):
     filler = [(100 + k, f"Passage number {k} speaks of gardens near tower {k}. It adds river {k * 7} and a bridge of stone {k}.") for k in range(40)]
-    items = spark.createDataFrame([(1, PASSAGE, "x"), (2, None, "x"), (3, "", "x"), *[(i, p, "x") for i, p in filler]], "item_id bigint, passage string, text string")
+    asked = ("How many umbrellas in Cirmadrus?", "62 umbrellas")
+    items = spark.createDataFrame([(1, PASSAGE, "x", *asked), (2, None, "x", *asked), (3, "", "x", *asked), *[(i, p, "x", None, "") for i, p in filler]], "item_id bigint, passage string, text string, question string, answer string")
     docs = [
         (1, f"Intro words here. {PASSAGE.upper()} outro"), (2, PASSAGE.replace("tailor", "tailr").replace("sold", "bought")), (3, "A quiet tailor once. Nobody counted."),
         (4, None), (5, ""), (6, "spam " * 20_000 + PASSAGE), (7, "1) The crooked lamp moved nine barrels across the yard. 2) Nobody in Cirmadrus counted the 62 umbrellas twice."), (1, f"Intro words here. {PASSAGE.upper()} outro"),
     ]
     found = {tuple(r) for r in find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
     assert found == {(1, 1), (2, 1), (6, 1), (7, 1)}
+    report = {r.doc_id: r for r in leak_report(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    assert report[1].passage_part == 1.0 and report[1].answer_held and report[7].question_part == 0.6 and 0.5 < report[7].passage_part < 0.7
+    assert find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string").limit(0), items).count() == 0
+    assert find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items.limit(0)).count() == 0
 
 
-def test_pruned_retrieval_loses_nothing():
+def many_items(n):
     dice = random.Random(2)
-    vocabulary = [f"w{k}" for k in range(80)]
-    index = SentenceIndex([(k, " ".join(dice.choices(vocabulary, k=12)) + ".") for k in range(60)])
-    for _ in range(40):
-        terms = set(dice.choices(vocabulary, k=25))
-        own = [index.term[t] for t in terms if t in index.term]
-        scores = index.parts[own].sum(0)
-        assert index.candidates(terms, 0.4) == [u for u in range(60) if scores[u] >= 0.4]
+    vocabulary = ["".join(dice.choice("abcdefghij") for _ in range(dice.randint(3, 9))) for _ in range(3000)]
+    return [Item(k, " ".join(" ".join(dice.choices(vocabulary, k=dice.randint(6, 20))) + "." for _ in range(3))) for k in range(n)], vocabulary
+
+
+def test_pruned_retrieval_loses_nothing():
+    items, vocabulary = many_items(60)
+    statistics = WordStatistics(i.passage for i in items)
+    index = SentenceIndex(items, statistics)
+    dice = random.Random(3)
+    queries = [sorted({statistics.term[w] for w in dice.choices(vocabulary, k=400) if w in statistics.term}) for _ in range(40)]
+    pairs = np.array([(q, t) for q, terms in enumerate(queries) for t in terms])
+    for least in (0.15, 0.3):
+        window, unit = index.candidates(pairs[:, 0], pairs[:, 1], len(queries), least)
+        whole = np.zeros((len(index.idf), len(index.units)))
+        term_of = np.repeat(np.arange(len(index.idf)), [index.cell_count[a:b].sum() for a, b in zip(index.term_start, index.term_start[1:], strict=False)])
+        whole[term_of, index.owner] = index.part
+        assert set(zip(window.tolist(), unit.tolist(), strict=True)) == {(q, u) for q, terms in enumerate(queries) for u in np.flatnonzero(whole[terms].sum(0) >= least)} != set()
+
+
+def test_ten_thousand_items_in_passes_of_any_size(spark, monkeypatch):
+    items, vocabulary = many_items(10_000)
+    dice = random.Random(5)
+    rows = []
+    for k in range(200):
+        parts = items[dice.randrange(10_000)].passage.split(". ")
+        rows.append((k, " ".join([*dice.choices(vocabulary, k=dice.randint(0, 300)), *parts[: dice.randint(1, 3)], *dice.choices(vocabulary, k=dice.randint(0, 300))])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = spark.createDataFrame([(i.item_id, i.passage, None, None) for i in items], "item_id bigint, passage string, question string, answer string")
+    found = []
+    for letters in (10**9, 400_000):
+        monkeypatch.setattr(leaks, "PASS_LETTERS", letters)
+        found.append({tuple(r) for r in find_leaks(docs, table).collect()})
+    statistics = WordStatistics(i.passage for i in items)
+    for block in (3, 50):
+        monkeypatch.setattr(leaks, "BLOCK", block)
+        found.append({(n, i.item_id) for n, i, _ in SentenceIndex(items, statistics).leaks([t for _, t in rows])})
+    assert all(f == found[0] for f in found) and len(found[0]) >= 150
 
 
 def test_words():
