@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from math import log1p
 from typing import NamedTuple
 from uuid import uuid4
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from matchloom.llm.metric import shortened
-from matchloom.llm.typography import words
+from matchloom.llm.typography import whole_words, words
 
 #: BM25's parameters.
 K1, B = 1.2, 0.5
@@ -89,22 +90,28 @@ class WordReader:
                 for s in shortened(w):
                     self.near.setdefault(s, statistics.term[w])
         self.exact = statistics.term
-        self.remembered: dict[str, int] = {}
+        self.remembered: dict[str, tuple[int, ...]] = {}
 
     def term(self, word: str) -> int:
         """The word's term, -1 if it stands for none."""
-        known = self.remembered.get(word)
+        known = self.exact.get(word, -1)
+        if known < 0 and 4 <= len(word) <= 60 and not word.isdigit():
+            known = next((self.near[s] for s in shortened(word) if s in self.near), -1)
+        return known
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """The terms of what stands between two spaces, remembered."""
+        known = self.remembered.get(piece)
         if known is None:
-            known = self.exact.get(word, -1)
-            if known < 0 and 4 <= len(word) <= 60 and not word.isdigit():
-                known = next((self.near[s] for s in shortened(word) if s in self.near), -1)
             if len(self.remembered) > 500_000:
                 self.remembered.clear()
-            self.remembered[word] = known
+            known = tuple(map(self.term, words(piece)))
+            if len(piece) <= 60:
+                self.remembered[piece] = known
         return known
 
     def terms(self, text: str | None) -> np.ndarray:
-        return np.fromiter(map(self.term, words(text or "")), np.int64)
+        return np.array(list(chain.from_iterable(map(self._piece, whole_words(text or "").split()))), np.int64)
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,16 +192,13 @@ class SentenceIndex:
         running = np.cumsum(self.idf[text[hits]])
         low = np.searchsorted(hits, hits - span, side="right")
         at = int(hits[np.argmax(running - np.where(low > 0, running[np.maximum(low, 1) - 1], 0.0))])
-        part = text[max(0, at - span + 1 - len(unit) // 3) : at + 1 + len(unit) // 3].tolist()
+        part = text[max(0, at - span + 1 - len(unit) // 3) : at + 1 + len(unit) // 3]
         weight = self.idf[unit] + 0.3
-        row = [0.0] * (len(part) + 1)
+        row = np.zeros(len(part) + 1)
         for w, x in zip(unit.tolist(), weight.tolist(), strict=True):
-            diagonal, left = 0.0, 0.0
-            for k, v in enumerate(part, 1):
-                up = row[k]
-                row[k] = left = max(up, left, diagonal + x if v == w else 0.0)
-                diagonal = up
-        return row[-1] / float(weight.sum())
+            # Either the word is left out, or it stands at one of its places after what came before.
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(part == w, row[:-1] + x, 0.0)))
+        return float(row[-1] / weight.sum())
 
     def _step(self, texts: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, Item, float]]:
         windows = [(n, found[k : k + 2 * self.reach]) for n, found in texts for k in range(0, max(1, len(found) - self.reach), self.reach)]

@@ -248,3 +248,10 @@ def test_ten_thousand_items_in_passes_of_any_size(spark, monkeypatch):
 
 def test_words():
     assert words("ﬁnal ﬂag — Ｄéо’s") == ["final", "flag", "deo", "s"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text(), st.text("aé-\n ­​#1ﬁА́", max_size=40)))
+def test_terms_are_those_of_the_words(text):
+    reader = WordStatistics(["alpha beta. fi a1 ae"]).read()
+    assert reader.terms(text).tolist() == [reader.term(w) for w in words(text)]
