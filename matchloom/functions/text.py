@@ -11,12 +11,15 @@ from pyspark.sql.types import StringType
 
 from matchloom.functions.columns import lookup
 
-# Status words of feeds and the lifecycle they mean.
+# Status words of feeds and the lifecycle they mean: short codes, long words, descriptions.
 STATUS = {
-    "scheduled": "SCHEDULED", "pre": "SCHEDULED", "delayed": "SCHEDULED", "in_play": "IN_PLAY", "in": "IN_PLAY", "in progress": "IN_PLAY",
-    "first half": "IN_PLAY", "second half": "IN_PLAY", "paused": "PAUSED", "halftime": "PAUSED", "half time": "PAUSED",
-    "finished": "FINISHED", "post": "FINISHED", "full time": "FINISHED", "ft": "FINISHED",
+    "1H": "IN_PLAY", "2H": "IN_PLAY", "HT": "PAUSED", "FT": "FINISHED", "PEN": "FINISHED", "NS": "SCHEDULED",
+    "IN_PLAY": "IN_PLAY", "LIVE": "IN_PLAY", "PAUSED": "PAUSED", "FINISHED": "FINISHED", "SCHEDULED": "SCHEDULED", "TIMED": "SCHEDULED",
+    "Full Time": "FINISHED", "Half Time": "PAUSED", "Halftime": "PAUSED", "In Progress": "IN_PLAY",
+    "First Half": "IN_PLAY", "Second Half": "IN_PLAY", "Scheduled": "SCHEDULED",
 }
+# Coarse states of a feed, used where the description is not known.
+STATE = {"pre": "SCHEDULED", "in": "IN_PLAY", "post": "FINISHED"}
 # Rank of a lifecycle state.
 RANK = {"UNKNOWN": -1, "SCHEDULED": 0, "IN_PLAY": 1, "PAUSED": 1, "FINISHED": 2}
 
@@ -44,9 +47,10 @@ def possession_of(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "%$", "").try_cast("double")
 
 
-def status_of(text: Column) -> Column:
-    """Lifecycle state of a feed's status word; unknown words are UNKNOWN."""
-    return F.coalesce(F.try_element_at(lookup(STATUS.items()), F.lower(F.trim(text))), F.lit("UNKNOWN"))
+def status_of(description: Column, state: Column | None = None) -> Column:
+    """Lifecycle state of a feed's description, as written; else of its coarse state; else UNKNOWN."""
+    coarse = [] if state is None else [F.try_element_at(lookup(STATE.items()), state)]
+    return F.coalesce(F.try_element_at(lookup(STATUS.items()), description), *coarse, F.lit("UNKNOWN"))
 
 
 def rank_of(status: Column) -> Column:
@@ -77,11 +81,16 @@ def date_chunks(first: Column, last: Column) -> Column:
     return F.when(first <= last, F.transform(days, lambda d: F.date_format(d, "yyyyMMdd"))).otherwise(F.array().cast("array<string>"))
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON with its keys in order; a text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
 def shrink(payload: Column) -> Column:
     """JSON object text as a map of JSON texts; {} where it is unreadable or no object."""
-    return F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.coalesce(F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
 
 
-def empty_value(text: Column) -> Column:
-    """Whether a payload value says nothing: null, "", [] or {}; 0 and false are data."""
-    return text.isNull() | text.isin("", "[]", "{}")
+def empty_value(value: Column) -> Column:
+    """Whether a payload value (VARIANT) says nothing: null, "", [] or {}; 0, false and the text "[]" are data."""
+    return value.isNull() | F.is_variant_null(value) | F.to_json(value).isin('""', "[]", "{}")

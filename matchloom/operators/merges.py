@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from matchloom.functions.text import empty_value, rank_of, shrink
 
 TERMINAL = ("FINISHED",)
+#: The scalar columns of a poll's row that merges decide on.
+SCALARS = ("status", "minute", "display_clock", "score_home", "score_away")
 
 
 def merge_payload(base: Column, incoming: Column) -> Column:

@@ -68,12 +68,6 @@ def stale_folds(s, d):
 
 
 def squad_order(s, d):
-    rows = read_table(s, d, "football_lineups").select("source", "match_id", "team", "athlete_id", "formation_place", "starter").distinct()
-    return reads.squad(rows.drop("starter").distinct(), top=3).select("source", "match_id", "team", "athlete_id", F.col("place").cast("bigint").alias("place"))
-
-
-def squad_lineups(s, d):
-    """squad_order without its cut to three places."""
     rows = read_table(s, d, "football_lineups").select("source", "match_id", "team", "athlete_id", "formation_place").distinct()
     return reads.squad(rows).select("source", "match_id", "team", "athlete_id", F.col("place").cast("bigint").alias("place"))
 
@@ -102,45 +96,19 @@ def card_counts(s, d):
 
 
 def snapshot_diff(s, d):
-    return changes.diff_polls(read_table(s, d, "match_polls"), read_table(s, d, "event_polls"), 7, 8)
+    return changes.diff_polls(read_table(s, d, "match_polls"), read_table(s, d, "event_polls"))
 
 
 def event_diff(s, d):
-    return changes.event_diff(read_table(s, d, "event_polls"), 7, 8)
+    return changes.event_diff(read_table(s, d, "event_polls"))
 
 
 def drift_classify(s, d):
-    polls = read_table(s, d, "event_polls")
-    stored = changes.record_union(polls.where("snapshot_no <= 8"))
-    incoming = changes.one_per_poll(polls.where("snapshot_no = 9"), ["source", "match_id", "seq"]).drop("snapshot_no", "polled_at")
-    return changes.classify_drift(stored, incoming).select("source", "match_id", "seq", "drift")
-
-
-# The next ones do over every snapshot what the ones of like name do over one pair.
-def snapshot_diffs(s, d):
-    return changes.all_poll_diffs(read_table(s, d, "match_polls"), read_table(s, d, "event_polls"))
+    return changes.poll_drift(read_table(s, d, "event_polls"))
 
 
-def event_diffs(s, d):
-    return changes.all_event_diffs(read_table(s, d, "event_polls"))
-
-
-def drift_all(s, d):
-    return changes.all_drift(read_table(s, d, "event_polls"))
-
-
-def merge_details(s, d):
-    polls = read_table(s, d, "match_polls").withColumn("kickoff_utc", F.lit(None).cast("string"))
-    fields = ("status", "minute", "display_clock", "score_home", "score_away", "kickoff_utc")
-    merged = merges.merge_detail(F.col("now"), F.col("old"))
-    return changes.step_pairs(polls, ["source", "match_id"], fields, "inner").select("snapshot_no", "source", "match_id", *[c.alias(n) for n, c in merged.items() if n != "kickoff_utc"])
-
-
-def never_regressing(s, d):
-    fields = ("status", "minute", "display_clock", "score_home", "score_away")
-    merged = merges.not_regressing(F.col("now"), F.col("old"), force_terminal=False)
-    pairs = changes.step_pairs(read_table(s, d, "match_polls"), ["source", "match_id"], fields, "inner")
-    return pairs.select("snapshot_no", "source", "match_id", *[merged[n].alias(n) for n in ("status", "score_home", "score_away")])
+def drift_news(s, d):
+    return changes.drift_news(changes.poll_drift(read_table(s, d, "event_polls"))).where("first").drop("first")
 
 
 def replay_reveal(s, d):
@@ -185,22 +153,23 @@ def accrued_state(s, d):
     return merges.accrue(rows, ["source", "match_id"], "snapshot_no").select("source", "match_id", "score_home", "score_away")
 
 
+def _poll_pairs(s, d, *fields):
+    """Each match's row in a snapshot (now) and in its source's previous one (old)."""
+    return changes.step_pairs(read_table(s, d, "match_polls"), ["source", "match_id"], lambda df: F.struct(*fields), "inner")
+
+
 def merge_detail(s, d):
-    polls = changes.one_per_poll(read_table(s, d, "match_polls"), ["source", "match_id"]).withColumn("kickoff_utc", F.lit(None).cast("string"))
-    fields = F.struct("status", "minute", "display_clock", "score_home", "score_away", "kickoff_utc")
-    board = polls.where("snapshot_no = 10").select("source", "match_id", fields.alias("board"))
-    detail = polls.where("snapshot_no = 9").select("source", "match_id", fields.alias("detail"))
-    merged = merges.merge_detail(F.col("board"), F.col("detail"))
-    return board.join(detail, ["source", "match_id"]).select("source", "match_id", *[c.alias(n) for n, c in merged.items() if n != "kickoff_utc"])
+    kickoff = F.get_json_object("payload", "$.kickoff_utc").alias("kickoff_utc")
+    merged = merges.merge_detail(F.col("now"), F.col("old"))
+    return _poll_pairs(s, d, *merges.SCALARS, kickoff).select("snapshot_no", "source", "match_id", *[c.alias(n) for n, c in merged.items()])
 
 
 def not_regressing(s, d):
-    polls = changes.one_per_poll(read_table(s, d, "match_polls"), ["source", "match_id"])
-    fields = F.struct("status", "minute", "display_clock", "score_home", "score_away")
-    stored = polls.where("snapshot_no = 12").select("source", "match_id", fields.alias("stored"))
-    late = polls.where("snapshot_no = 6").select("source", "match_id", fields.alias("late"))
-    merged = merges.not_regressing(F.col("stored"), F.col("late"), force_terminal=False)
-    return stored.join(late, ["source", "match_id"]).select("source", "match_id", *[merged[n].alias(n) for n in ("status", "score_home", "score_away")])
+    """Each row over the later one, with and without forcing an end."""
+    pairs = _poll_pairs(s, d, *merges.SCALARS)
+    both = [merges.not_regressing(F.col("now"), F.col("old"), force_terminal=forced) for forced in (False, True)]
+    names = [(n, f"{n}{end}") for n in merges.SCALARS for end in ("", "_forced")]
+    return pairs.select("snapshot_no", "source", "match_id", *[both[new.endswith("_forced")][n].alias(new) for n, new in names])
 
 
 def flip_orientation(s, d):
@@ -222,12 +191,6 @@ def resolve_authority(s, d):
 
 
 def feed_texts(s, d):
-    goals = read_table(s, d, "worldcup").select(F.explode("goals1").alias("g")).select("g.minute")
-    return goals.where("minute is not null").select("minute", T.minute_of(F.col("minute")).alias("parsed")).distinct()
-
-
-def goal_minutes(s, d):
-    """feed_texts over the goals of both teams."""
     goals = read_table(s, d, "worldcup").select(F.explode(F.concat(*[F.coalesce(F.col(c), F.array()) for c in ("goals1", "goals2")])).alias("g")).select("g.minute")
     return goals.where("minute is not null").select("minute", T.minute_of(F.col("minute")).alias("parsed")).distinct()
 
@@ -260,48 +223,49 @@ def rank_standings(s, d):
 
 
 _NAMES = """latest_state list_matches events_since latest_of_type has_any_event finished_without_events find_by_name fold_names stale_folds
-squad_order squad_lineups player_stats lineup_announced match_participants event_view card_counts snapshot_diff event_diff drift_classify snapshot_diffs event_diffs drift_all merge_details never_regressing replay_reveal step_reveal
+squad_order player_stats lineup_announced match_participants event_view card_counts snapshot_diff event_diff drift_classify drift_news replay_reveal step_reveal
 record_union taxonomy_gate seq_stats upsert_last_wins masked_upsert accrued_state merge_detail not_regressing flip_orientation window_nearest
-resolve_authority feed_texts goal_minutes status_words goal_slugs date_chunks json_rows rank_standings""".split()
+resolve_authority feed_texts status_words goal_slugs date_chunks json_rows rank_standings""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _FOLD = "replace(lower(strip_accents(nfc_normalize(trim(display_name)))), 'ß', 'ss')"
-_ONE = "(select * from {t} where snapshot_no = {n} qualify row_number() over (partition by source, match_id{k} order by polled_at desc, status desc) = 1)"
-_MP = lambda n: _ONE.format(t="match_polls", n=n, k="")
-_EP = "(select * from event_polls where snapshot_no = {n} qualify row_number() over (partition by source, match_id, seq order by polled_at desc, minute desc nulls last) = 1)"
-_EVENT_DIFF = "select a.source, a.match_id, a.seq, case when b.source is null then 'new' else 'mutated' end as change from {now} a left join {old} b using (source, match_id, seq) where b.source is null or (a.minute, a.type, a.importance, a.detail, a.payload) is distinct from (b.minute, b.type, b.importance, b.detail, b.payload)".format(
-    now=_EP.format(n=8), old=_EP.format(n=7)
-)
+#: A payload whatever the order of its keys.
+_JSON = "case when json_valid({c}) then cast(list_sort(list_transform(json_keys({c}), lambda k: k || cast(json_extract({c}, '$.\"' || k || '\"') as varchar))) as varchar) else {c} end"
 _RANK = "coalesce(map {{'UNKNOWN': -1, 'SCHEDULED': 0, 'IN_PLAY': 1, 'PAUSED': 1, 'FINISHED': 2}}[{c}], -1)"
 _ALL_POLLS = "(select * from match_polls qualify row_number() over (partition by source, match_id, snapshot_no order by polled_at desc, status desc) = 1)"
 #: Every snapshot's rows once, each source's snapshots with the one before, and both joined.
 _EVERY_M = "(select * from match_polls qualify row_number() over (partition by source, match_id, snapshot_no order by polled_at desc, status desc, minute desc nulls last, score_home desc nulls last, score_away desc nulls last, display_clock desc nulls last, payload desc nulls last) = 1)"
 _EVERY_E = "(select * from event_polls qualify row_number() over (partition by source, match_id, seq, snapshot_no order by polled_at desc, minute desc nulls last, period desc nulls last, type desc, importance desc, actor_entity desc nulls last, target_entity desc nulls last, detail desc nulls last, payload desc) = 1)"
 _STEPS = "(select source, snapshot_no, lag(snapshot_no) over (partition by source order by snapshot_no) as prev from (select distinct source, snapshot_no from {t}) qualify prev is not null)"
-_WHOLE = lambda a: ", ".join(f"{a}.{c}" for c in ("minute", "period", "type", "importance", "actor_entity", "target_entity", "detail", "payload"))
+_WHOLE = lambda a: ", ".join(f"{a}.{c}" for c in ("minute", "period", "type", "importance", "actor_entity", "target_entity", "detail")) + ", " + _JSON.format(c=f"{a}.payload")
 _EVENT_DIFFS = f"""select a.snapshot_no, a.source, a.match_id, a.seq, case when b.source is null then 'new' else 'mutated' end as change
 from {_EVERY_E} a join {_STEPS.format(t='event_polls')} s on s.source = a.source and s.snapshot_no = a.snapshot_no
 left join {_EVERY_E} b on b.source = a.source and b.match_id = a.match_id and b.seq = a.seq and b.snapshot_no = s.prev where b.source is null or ({_WHOLE('a')}) is distinct from ({_WHOLE('b')})"""
-_PAIRED = f"{_EVERY_M} a join {_STEPS.format(t='match_polls')} s on s.source = a.source and s.snapshot_no = a.snapshot_no {{how}} join {_EVERY_M} b on b.source = a.source and b.match_id = a.match_id and b.snapshot_no = s.prev"
-
-ORACLES = {
-    "event_diffs": _EVENT_DIFFS,
-    "snapshot_diffs": f"""with n as (select snapshot_no, source, match_id, count(*) as k from ({_EVENT_DIFFS}) group by 1, 2, 3)
-select a.snapshot_no, a.source, a.match_id, (b.source is null or (a.status, a.minute, a.score_home, a.score_away, a.display_clock, a.payload) is distinct from (b.status, b.minute, b.score_home, b.score_away, b.display_clock, b.payload)) as state_changed,
-coalesce(n.k, 0) as new_events from {_PAIRED.format(how='left')} left join n on n.source = a.source and n.match_id = a.match_id and n.snapshot_no = a.snapshot_no""",
-    "drift_all": f"""with e as {_EVERY_E}, h as (select i.source, i.match_id, i.snapshot_no, max(o.seq) as head from (select distinct source, match_id, snapshot_no from e) i
+_DRIFT = f"""with e as {_EVERY_E}, h as (select i.source, i.match_id, i.snapshot_no, max(o.seq) as head from (select distinct source, match_id, snapshot_no from e) i
 join e o on o.source = i.source and o.match_id = i.match_id and o.snapshot_no < i.snapshot_no group by 1, 2, 3)
 select i.snapshot_no, i.source, i.match_id, i.seq, case when k.source is not null and ({_WHOLE('k')}) is not distinct from ({_WHOLE('i')}) then 'resend' when k.source is not null then 'conflict'
 when i.seq <= h.head then 'retroactive' else 'new' end as drift from e i join {_STEPS.format(t='event_polls')} s on s.source = i.source and s.snapshot_no = i.snapshot_no
 left join e k on k.source = i.source and k.match_id = i.match_id and k.seq = i.seq and k.snapshot_no = (select max(o.snapshot_no) from e o where o.source = i.source and o.match_id = i.match_id and o.seq = i.seq and o.snapshot_no < i.snapshot_no)
-left join h on h.source = i.source and h.match_id = i.match_id and h.snapshot_no = i.snapshot_no""",
-    "merge_details": f"""with j as (select a.snapshot_no, a.source, a.match_id, a.status bs, a.minute bm, a.display_clock bc, a.score_home bh, a.score_away ba, b.status ds, b.minute dm, b.display_clock dc, b.score_home dh, b.score_away da,
-{_RANK.format(c='b.status')} < {_RANK.format(c='a.status')} as behind from {_PAIRED.format(how='')})
+left join h on h.source = i.source and h.match_id = i.match_id and h.snapshot_no = i.snapshot_no"""
+_PAIRED = f"{_EVERY_M} a join {_STEPS.format(t='match_polls')} s on s.source = a.source and s.snapshot_no = a.snapshot_no {{how}} join {_EVERY_M} b on b.source = a.source and b.match_id = a.match_id and b.snapshot_no = s.prev"
+
+ORACLES = {
+    "event_diff": _EVENT_DIFFS,
+    "snapshot_diff": f"""with n as (select snapshot_no, source, match_id, count(*) as k from ({_EVENT_DIFFS}) group by 1, 2, 3)
+select a.snapshot_no, a.source, a.match_id, (b.source is null or (a.status, a.minute, a.score_home, a.score_away, a.display_clock, {_JSON.format(c='a.payload')}) is distinct from (b.status, b.minute, b.score_home, b.score_away, b.display_clock, {_JSON.format(c='b.payload')})) as state_changed,
+coalesce(n.k, 0) as new_events from {_PAIRED.format(how='left')} left join n on n.source = a.source and n.match_id = a.match_id and n.snapshot_no = a.snapshot_no""",
+    "drift_classify": _DRIFT,
+    "drift_news": f"""with d as ({_DRIFT}), l as (select *, lag(drift) over (partition by source, match_id, seq order by snapshot_no) as was from d)
+select snapshot_no, source, match_id, seq, drift from l where drift in ('conflict', 'retroactive') and drift is distinct from was""",
+    "merge_detail": f"""with j as (select a.snapshot_no, a.source, a.match_id, a.status bs, a.minute bm, a.display_clock bc, a.score_home bh, a.score_away ba, a.payload ->> '$.kickoff_utc' bk,
+b.status ds, b.minute dm, b.display_clock dc, b.score_home dh, b.score_away da, b.payload ->> '$.kickoff_utc' dk, {_RANK.format(c='b.status')} < {_RANK.format(c='a.status')} as behind from {_PAIRED.format(how='')})
 select snapshot_no, source, match_id, case when behind then bs else ds end as status, case when behind then bm else dm end as minute, case when behind then bc else dc end as display_clock,
-case when behind and bh is not null then bh else coalesce(dh, bh) end as score_home, case when behind and ba is not null then ba else coalesce(da, ba) end as score_away from j""",
-    "never_regressing": f"""select a.snapshot_no, a.source, a.match_id, case when a.status = 'FINISHED' and b.status <> 'FINISHED' then a.status else b.status end as status,
-greatest(a.score_home, b.score_home) as score_home, greatest(a.score_away, b.score_away) as score_away from {_PAIRED.format(how='')}""",
-    "goal_minutes": "select distinct g.minute as minute, try_cast(trim(split_part(replace(g.minute, '''', ''), '+', 1)) as int) as parsed from (select unnest(goals1) as g from worldcup union all select unnest(goals2) from worldcup) where g.minute is not null",
+case when behind and bh is not null then bh else coalesce(dh, bh) end as score_home, case when behind and ba is not null then ba else coalesce(da, ba) end as score_away, coalesce(dk, bk) as kickoff_utc from j""",
+    "not_regressing": f"""with j as (select a.snapshot_no, a.source, a.match_id, a.status ss, a.minute sm, a.display_clock sc, b.status cs, b.minute cm, b.display_clock cc,
+coalesce(a.status = 'FINISHED', false) as done, coalesce(b.status = 'FINISHED', false) as real, greatest(a.score_home, b.score_home) as score_home, greatest(a.score_away, b.score_away) as score_away from {_PAIRED.format(how='')})
+select snapshot_no, source, match_id, case when done and not real then ss else cs end as status, case when done then coalesce(cm, sm) else cm end as minute, case when done then coalesce(cc, sc) else cc end as display_clock, score_home, score_away,
+'FINISHED' as status_forced, case when real then cm end as x1, score_home as score_home_forced, score_away as score_away_forced,
+case when real then coalesce(cm, case when done then sm end) else case when done then sm end end as minute_forced, case when real then coalesce(cc, case when done then sc end) else case when done then sc end end as display_clock_forced from j""".replace("case when real then cm end as x1, ", ""),
     "latest_state": f"""with e as {_E}, h as (select match_id, max(seq) as head, count(*) as n from e group by 1),
 k as (select match_id, type from e where type in ('kickoff', 'half_time', 'full_time') qualify row_number() over (partition by match_id order by seq desc) = 1)
 select m.match_id, m.source, m.status, coalesce(h.head, -1) as head, coalesce(h.n, 0) as n_events, coalesce(k.type, lower(m.status)) as phase
@@ -315,8 +279,6 @@ from {_M} m left join h using (match_id) left join k using (match_id)""",
     "fold_names": f"select distinct source, entity_id, md5({_FOLD}) as fold from entities",
     "stale_folds": f"select source, kind, count(*) filter (where {_FOLD} is distinct from name_folded) as stale, count(*) as n from entities group by 1, 2",
     "squad_order": """select source, match_id, team, athlete_id, row_number() over (partition by source, match_id, team order by formation_place asc nulls last, athlete_id) as place
-from (select distinct source, match_id, team, athlete_id, formation_place from football_lineups) qualify place <= 3""",
-    "squad_lineups": """select source, match_id, team, athlete_id, row_number() over (partition by source, match_id, team order by formation_place asc nulls last, athlete_id) as place
 from (select distinct source, match_id, team, athlete_id, formation_place from football_lineups)""",
     "player_stats": f"select distinct source, match_id, team, possession, shots, corners from (select distinct * exclude (collected_at) from football_stats) s where exists (select 1 from {_M} m where m.source = s.source and m.match_id = s.match_id)",
     "lineup_announced": "select source, match_id, team, bool_or(coalesce(starter = 1, false)) as announced from football_lineups group by 1, 2, 3",
@@ -326,15 +288,6 @@ union all select source, match_id, p ->> '$.away_team', 'away', score_away from
     "event_view": f"""select source, match_id, seq, type, payload ->> '$.team' as team, coalesce(payload ->> '$.scorer', payload ->> '$.player') as player, payload ->> '$.assist' as assist,
 case when type in ('kickoff', 'half_time', 'full_time') then type end as phase from {_E}""",
     "card_counts": f"select source, match_id, payload ->> '$.team' as team, count(*) filter (where type = 'yellow') as yellow, count(*) filter (where type = 'red') as red from {_E} where type in ('yellow', 'red') and payload ->> '$.team' is not null group by 1, 2, 3",
-    "snapshot_diff": f"""with n as (select source, match_id, count(*) as k from ({_EVENT_DIFF}) group by 1, 2)
-select a.source, a.match_id, (b.source is null or (a.status, a.minute, a.score_home, a.score_away, a.display_clock, a.payload) is distinct from (b.status, b.minute, b.score_home, b.score_away, b.display_clock, b.payload)) as state_changed,
-coalesce(n.k, 0) as new_events from {_MP(8)} a left join {_MP(7)} b using (source, match_id) left join n using (source, match_id)""",
-    "event_diff": _EVENT_DIFF,
-    "drift_classify": f"""with stored as (select * from event_polls where snapshot_no <= 8 qualify row_number() over (partition by source, match_id, seq order by snapshot_no desc, polled_at desc, minute desc nulls last) = 1),
-heads as (select source, match_id, max(seq) as head from stored group by 1, 2)
-select i.source, i.match_id, i.seq, case when s.source is not null and (s.minute, s.type, s.importance, s.detail, s.payload) is not distinct from (i.minute, i.type, i.importance, i.detail, i.payload) then 'resend'
-when s.source is not null then 'conflict' when i.seq <= h.head then 'retroactive' else 'new' end as drift
-from {_EP.format(n=9)} i left join stored s using (source, match_id, seq) left join heads h using (source, match_id)""",
     "replay_reveal": f"""with e as (select *, max(case when coalesce(minute, 0) * 60 > 2400 then 1 else 0 end) over (partition by source, match_id order by seq) as blocked from {_E})
 select source, match_id, count(*) as n, max(seq) as head from e where blocked = 0 group by 1, 2""",
     "step_reveal": f"select source, match_id, seq, type from {_E} qualify row_number() over (partition by source, match_id order by seq) <= 3",
@@ -348,20 +301,14 @@ b as (select source, match_id, minute from p where snapshot_no % 2 = 0 qualify r
 c as (select source, match_id, score_home from p qualify row_number() over (partition by source, match_id order by snapshot_no desc) = 1)
 select k.source, k.match_id, a.status, b.minute, c.score_home from k left join a using (source, match_id) left join b using (source, match_id) left join c using (source, match_id)""",
     "accrued_state": f"select source, match_id, max(score_home) as score_home, max(score_away) as score_away from {_ALL_POLLS} group by 1, 2",
-    "merge_detail": f"""with j as (select b.source, b.match_id, b.status bs, b.minute bm, b.display_clock bc, b.score_home bh, b.score_away ba, d.status ds, d.minute dm, d.display_clock dc, d.score_home dh, d.score_away da,
-{_RANK.format(c='d.status')} < {_RANK.format(c='b.status')} as behind from {_MP(10)} b join {_MP(9)} d using (source, match_id))
-select source, match_id, case when behind then bs else ds end as status, case when behind then bm else dm end as minute, case when behind then bc else dc end as display_clock,
-case when behind and bh is not null then bh else coalesce(dh, bh) end as score_home, case when behind and ba is not null then ba else coalesce(da, ba) end as score_away from j""",
-    "not_regressing": f"""select s.source, s.match_id, case when s.status = 'FINISHED' and l.status <> 'FINISHED' then s.status else l.status end as status,
-greatest(s.score_home, l.score_home) as score_home, greatest(s.score_away, l.score_away) as score_away from {_MP(12)} s join {_MP(6)} l using (source, match_id)""",
     "flip_orientation": f"""select source, match_id, case when score_away > score_home then away_entity else home_entity end as home_entity, case when score_away > score_home then home_entity else away_entity end as away_entity,
 case when score_away > score_home then score_away else score_home end as score_home, case when score_away > score_home then score_home else score_away end as score_away from {_M}""",
     "window_nearest": """select p.event_id as id, e.event_id as rid from events p join events e on p.user_id = e.user_id and p.event_type = 'purchase' and e.event_type = 'error'
 and abs(date_diff('second', p.ts, e.ts)) <= 10800 qualify row_number() over (partition by p.event_id order by abs(date_diff('second', p.ts, e.ts)), e.event_id) = 1""",
     "resolve_authority": """with r as (select distinct home_entity, match_id, updated_at, cast(case when contains(match_id, ':') then 1 when contains(match_id, '_vs_') then 0 else 2 end as bigint) as rank from matches where match_id is not null and home_entity is not null)
 select home_entity, match_id, rank from r qualify row_number() over (partition by home_entity order by rank, updated_at desc nulls last, match_id) = 1""",
-    "feed_texts": "select distinct g.minute as minute, try_cast(trim(split_part(replace(g.minute, '''', ''), '+', 1)) as int) as parsed from (select unnest(goals1) as g from worldcup) where g.minute is not null",
-    "status_words": f"select distinct status, coalesce(map {{'scheduled': 'SCHEDULED', 'in_play': 'IN_PLAY', 'paused': 'PAUSED', 'finished': 'FINISHED'}}[lower(trim(status))], 'UNKNOWN') as state, {_RANK.format(c='status')} as rank from match_polls",
+    "feed_texts": "select distinct g.minute as minute, try_cast(trim(split_part(replace(g.minute, '''', ''), '+', 1)) as int) as parsed from (select unnest(goals1) as g from worldcup union all select unnest(goals2) from worldcup) where g.minute is not null",
+    "status_words": f"select distinct status, coalesce(map {{'SCHEDULED': 'SCHEDULED', 'IN_PLAY': 'IN_PLAY', 'PAUSED': 'PAUSED', 'FINISHED': 'FINISHED'}}[status], 'UNKNOWN') as state, {_RANK.format(c='status')} as rank from match_polls",
     "goal_slugs": "select * from (values ('own-goal', 'own_goal'), ('own-goal---header', 'own_goal'), ('penalty-goal', 'goal'), ('goal', 'goal'), ('goal---volley', 'goal'), ('yellow-card', null)) t(slug, type)",
     "date_chunks": "select strftime(unnest(generate_series(a - interval 1 day, b + interval 1 day, interval 1 day)), '%Y%m%d') as day from (select cast(min(polled_at) as date) as a, cast(max(polled_at) as date) as b from match_polls)",
     "json_rows": """select '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' as json from nation""",
