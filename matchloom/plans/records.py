@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
@@ -150,7 +150,34 @@ def masked_upsert(s, d):
 
 def accrued_state(s, d):
     rows = changes.one_per_poll(read_table(s, d, "match_polls"), ["source", "match_id"])
-    return merges.accrue(rows, ["source", "match_id"], "snapshot_no").select("source", "match_id", "score_home", "score_away")
+    sides = {n: F.get_json_object("payload", f"$.{n}") for n in ("home_team", "away_team")}
+    return merges.accrue(rows.withColumns(sides).drop("payload"), ["source", "match_id"], "snapshot_no", tuple(sides))
+
+
+def payload_merge(s, d):
+    pairs = _poll_pairs(s, d, "payload")
+    return pairs.select("snapshot_no", "source", "match_id", merges.merge_payload(F.col("old.payload"), F.col("now.payload")).alias("payload"))
+
+
+def captured_states(s, d):
+    """What each row says of the one before it: worth keeping, disproved by this one, live no more, over at first sight."""
+    polls = changes.one_per_poll(read_table(s, d, "match_polls"), ["source", "match_id"])
+    state = F.struct(*merges.SCALARS)
+    rows = polls.select("snapshot_no", "source", "match_id", state.alias("now"), F.lag(state).over(Window.partitionBy("source", "match_id").orderBy("snapshot_no")).alias("old"))
+    now, old = F.col("now"), F.col("old")
+    flags = {"kept": merges.worth_retaining(old), "disproved": merges.supersedes(now, old), "off": merges.went_off(old, now), "late": merges.first_sight_finished(now, old, F.lit(None))}
+    return rows.select("snapshot_no", "source", "match_id", *[F.when(old.isNotNull() | F.lit(n == "late"), c).alias(n) for n, c in flags.items()])
+
+
+def closing_state(s, d):
+    """Each row of a match closed over its first, its previous and the one before that."""
+    polls = changes.one_per_poll(read_table(s, d, "match_polls"), ["source", "match_id"])
+    state, order = F.struct(*merges.SCALARS), Window.partitionBy("source", "match_id").orderBy("snapshot_no")
+    rows = polls.select(
+        "snapshot_no", "source", "match_id", state.alias("fresh"), F.lag(state).over(order).alias("baseline"), F.lag(state, 2).over(order).alias("fallback"),
+        F.first(state).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stored"),
+    )
+    return rows.select("snapshot_no", "source", "match_id", *[c.alias(n) for n, c in merges.give_up().items()])
 
 
 def _poll_pairs(s, d, *fields):
@@ -214,8 +241,6 @@ def json_rows(s, d):
 
 
 def rank_standings(s, d):
-    from pyspark.sql import Window
-
     n, c = read_table(s, d, "nation"), read_table(s, d, "customer")
     counts = c.groupBy("c_nationkey").agg(F.count("*").alias("customers")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     order = Window.partitionBy("n_regionkey").orderBy(F.desc("customers"), "n_name")
@@ -224,7 +249,7 @@ def rank_standings(s, d):
 
 _NAMES = """latest_state list_matches events_since latest_of_type has_any_event finished_without_events find_by_name fold_names stale_folds
 squad_order player_stats lineup_announced match_participants event_view card_counts snapshot_diff event_diff drift_classify drift_news replay_reveal step_reveal
-record_union taxonomy_gate seq_stats upsert_last_wins masked_upsert accrued_state merge_detail not_regressing flip_orientation window_nearest
+record_union taxonomy_gate seq_stats upsert_last_wins masked_upsert accrued_state payload_merge captured_states closing_state merge_detail not_regressing flip_orientation window_nearest
 resolve_authority feed_texts status_words goal_slugs date_chunks json_rows rank_standings""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -249,6 +274,21 @@ left join e k on k.source = i.source and k.match_id = i.match_id and k.seq = i.s
 left join h on h.source = i.source and h.match_id = i.match_id and h.snapshot_no = i.snapshot_no"""
 _PAIRED = f"{_EVERY_M} a join {_STEPS.format(t='match_polls')} s on s.source = a.source and s.snapshot_no = a.snapshot_no {{how}} join {_EVERY_M} b on b.source = a.source and b.match_id = a.match_id and b.snapshot_no = s.prev"
 
+#: The fold of a match's polls, o the state so far and n the next row.
+_STATE = ("status", "minute", "display_clock", "score_home", "score_away", "home_team", "away_team")
+_DONE = "coalesce({}.status = 'FINISHED', false)"
+_VETOED = f"({_DONE.format('o')} = {_DONE.format('n')} and (coalesce(n.score_home < o.score_home, false) or coalesce(n.score_away < o.score_away, false)))"
+_KEEPS = f"({_VETOED} or ({_DONE.format('o')} and not {_DONE.format('n')}))"
+_CLOCK = lambda w, x, c, by: f"coalesce({w}.{c}, case when not {_VETOED} and ({x}.status is not distinct from {w}.status or ({_DONE.format('o')} and {_DONE.format('n')})) and ({w}.{by} is null or {x}.{by} is null or {w}.{by} = {x}.{by}) then {x}.{c} end)"
+_EITHER = lambda a, b: f"case when {_KEEPS} then {a} else {b} end"
+_FOLD_PARTS = {
+    "status": _EITHER("o.status", "n.status"), "minute": _EITHER(_CLOCK("o", "n", "minute", "display_clock"), _CLOCK("n", "o", "minute", "display_clock")),
+    "display_clock": _EITHER(_CLOCK("o", "n", "display_clock", "minute"), _CLOCK("n", "o", "display_clock", "minute")),
+    "score_home": "greatest(o.score_home, n.score_home)", "score_away": "greatest(o.score_away, n.score_away)",
+    "home_team": _EITHER("coalesce(o.home_team, n.home_team)", "coalesce(n.home_team, o.home_team)"), "away_team": _EITHER("coalesce(o.away_team, n.away_team)", "coalesce(n.away_team, o.away_team)"),
+}
+_FOLD_STEP = "{" + ", ".join(f"'{c}': {e}" for c, e in _FOLD_PARTS.items()) + "}"
+
 ORACLES = {
     "event_diff": _EVENT_DIFFS,
     "snapshot_diff": f"""with n as (select snapshot_no, source, match_id, count(*) as k from ({_EVENT_DIFFS}) group by 1, 2, 3)
@@ -300,7 +340,18 @@ a as (select source, match_id, status from p where snapshot_no % 2 = 1 qualify r
 b as (select source, match_id, minute from p where snapshot_no % 2 = 0 qualify row_number() over (partition by source, match_id order by snapshot_no desc) = 1),
 c as (select source, match_id, score_home from p qualify row_number() over (partition by source, match_id order by snapshot_no desc) = 1)
 select k.source, k.match_id, a.status, b.minute, c.score_home from k left join a using (source, match_id) left join b using (source, match_id) left join c using (source, match_id)""",
-    "accrued_state": f"select source, match_id, max(score_home) as score_home, max(score_away) as score_away from {_ALL_POLLS} group by 1, 2",
+    "accrued_state": f"""with p as (select *, payload ->> '$.home_team' as home_team, payload ->> '$.away_team' as away_team from {_EVERY_M}),
+f as (select source, match_id, list_reduce(list({{{', '.join(f"'{c}': {c}" for c in _STATE)}}} order by snapshot_no), lambda o, n: {_FOLD_STEP}) as r from p group by 1, 2)
+select source, match_id, {', '.join(f'r.{c}' for c in _STATE)} from f""",
+    "payload_merge": f"""with j as (select a.snapshot_no, a.source, a.match_id, case when json_valid(b.payload) then b.payload else '{{}}' end as o, case when json_valid(a.payload) then a.payload else '{{}}' end as n from {_PAIRED.format(how='')}),
+k as (select *, list_sort(list_distinct(list_concat(json_keys(o), json_keys(n)))) as keys from j)
+select snapshot_no, source, match_id, '{{' || array_to_string(list_transform(keys, lambda k: to_json(k) || ':' || coalesce(case when cast(json_extract(n, '$."' || k || '"') as varchar) not in ('null', '""', '[]', '{{}}') then json_extract(n, '$."' || k || '"') end, json_extract(o, '$."' || k || '"'), json_extract(n, '$."' || k || '"'))), ',') || '}}' as payload from k""",
+    "captured_states": f"""with l as (select snapshot_no, source, match_id, status, minute, score_home, score_away, lag(true) over w as seen, lag(status) over w as os, lag(minute) over w as om, lag(score_home) over w as oh, lag(score_away) over w as oa
+from {_EVERY_M} window w as (partition by source, match_id order by snapshot_no))
+select snapshot_no, source, match_id, case when seen then oh is not null or oa is not null or coalesce(os = 'FINISHED', false) end as kept,
+case when seen then not (oh is not null and (score_home is null or score_home < oh)) and not (oa is not null and (score_away is null or score_away < oa))
+and (coalesce(score_home > oh, false) or coalesce(score_away > oa, false) or (oh is not null and oa is not null and coalesce(minute > om, false))) end as disproved,
+case when seen then coalesce(os in ('IN_PLAY', 'PAUSED'), false) and not coalesce(status in ('IN_PLAY', 'PAUSED'), false) end as "off", coalesce(status = 'FINISHED', false) and seen is null as late from l""",
     "flip_orientation": f"""select source, match_id, case when score_away > score_home then away_entity else home_entity end as home_entity, case when score_away > score_home then home_entity else away_entity end as away_entity,
 case when score_away > score_home then score_away else score_home end as score_home, case when score_away > score_home then score_home else score_away end as score_away from {_M}""",
     "window_nearest": """select p.event_id as id, e.event_id as rid from events p join events e on p.user_id = e.user_id and p.event_type = 'purchase' and e.event_type = 'error'
