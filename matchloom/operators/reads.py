@@ -26,6 +26,14 @@ def list_matches(matches: DataFrame, source: str | None = None, status: str | No
     return matches.orderBy(F.asc_nulls_first("kickoff_utc"), "match_id")
 
 
+def standings(rows: DataFrame, source: str, group_key: str | None = None) -> DataFrame:
+    """Standings of a source by group, stored rank and id; of one group if given."""
+    rows = rows.where(F.col("source") == source)
+    if group_key is not None:
+        rows = rows.where(F.col("group_key") == group_key)
+    return rows.orderBy("group_key", "rank", "entity_id")
+
+
 def events_since(events: DataFrame, match_id: str, since_seq: int = -1) -> DataFrame:
     """Events of a match with a greater seq, in order; beyond the head there are none."""
     return events.where((F.col("match_id") == match_id) & (F.col("seq") > since_seq)).orderBy("seq")
