@@ -35,11 +35,13 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a private one is made only where the session names none."""
+    """The shared checkpoint folder that the session names; a private one is made only for a session that runs on this machine alone."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isDefined():
         return context._jsc.sc().getCheckpointDir().get()
+    if not named and not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="matchloom-checkpoint-")
     context.setCheckpointDir(folder)
     return folder

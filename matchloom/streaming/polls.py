@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from matchloom.operators.changes import classify_drift
+from matchloom.sources.store import exists
 
 EVENT_COLUMNS = ("source", "match_id", "seq", "minute", "type", "importance", "detail", "payload")
 
 
 def stored_events(spark: SparkSession, log: str, schema, before: int | None = None) -> DataFrame:
     """The event log up to a batch, so that a batch that runs again never meets its own rows; empty where nothing is stored yet."""
-    try:
-        rows = spark.read.parquet(log)
-    except AnalysisException:  # no such folder, or nothing in it
+    if not exists(spark, log):
         return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(log)
     if before is not None:
         rows = rows.where(F.col("batch") < before)
     return rows.select(*[f.name for f in schema.fields])
@@ -26,7 +26,8 @@ def stored_events(spark: SparkSession, log: str, schema, before: int | None = No
 def apply_batch(batch: DataFrame, batch_id: int, log: str, drift: str) -> None:
     """Append what is new, write down what drifted. Running a batch id again rewrites the same two folders."""
     rows = batch.select(*EVENT_COLUMNS)
-    stored = stored_events(batch.sparkSession, log, rows.schema, before=batch_id)
+    # Only the log of the matches that are polled is read into the comparison.
+    stored = stored_events(batch.sparkSession, log, rows.schema, before=batch_id).join(rows.select("source", "match_id").distinct(), ["source", "match_id"], "left_semi")
     classified = classify_drift(stored, rows).persist()
     try:
         classified.where("drift = 'new'").drop("drift").write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
