@@ -55,7 +55,7 @@ def entity(entities: DataFrame, source: str, entity_id: str) -> DataFrame:
 def keyed_teams(rows: DataFrame, team: str = "team") -> DataFrame:
     """rows with ``team_key``; the key is made once per distinct name."""
     names = rows.select(team).distinct().withColumn("team_key", team_key(F.col(team)))
-    return rows.join(names, team, "left")
+    return rows.join(names, team, "left").select(*rows.columns, "team_key")
 
 
 def lineup(lineups: DataFrame, participant: str | None = None) -> DataFrame:
