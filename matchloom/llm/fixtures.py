@@ -1,17 +1,22 @@
 """Matching fixtures across providers without keys: BM25 retrieval, mutual nearest, calibrated confidence.
 
-Every match is a bag of attribute terms (its two teams, day, hour, ground,
-scores; rounds are numbered by each provider on its own and tell nothing). Terms weigh by BM25 over all rows. Candidates come only from
-the posting lists of essential terms, a team on one day, or a pair of teams (one
-team where the other is not told) where no day is known: without any of them a row cannot reach the score
-of a match, so nothing that could be on top is lost, while the long lists of
-the light terms (hours, scores) are never walked, only added up on what the
-essential ones brought. The best partner in each other provider counts where
-the choice is mutual, and its lead over the next best becomes a confidence.
+Every match is a bag of attribute terms. Essential ones say who plays when: a
+team near a day or, where a row tells no day, the pair of teams (one team where
+the other is not told). Light ones are hour, ground and scores; rounds are
+numbered by each provider on its own and tell nothing. Terms weigh by BM25 over
+all rows. What a row's light terms can add up to bounds the score of every
+partner without an essential term in common; only partners above that bound
+count, so the posting lists of the essential terms hold all that do, and the
+long lists of the light terms are never walked, only added up on what the
+essential ones brought. The best partner in each other provider counts where the
+choice is mutual, and its lead over the next best, or over the bound, becomes a
+confidence.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +37,9 @@ SAME_DELIVERY_DAYS = 3
 #: Within so many days a row without kick-off needs the same ground, score and half-time score.
 LATE_DAYS = 60
 
+#: Least confidence of a pair.
+CONFIDENT = 0.5
+
 #: Attributes whose agreement is weighed, beside the two teams and the day.
 LIGHT = ("hour", "ground", "score", "half_score")
 
@@ -72,13 +80,13 @@ def fixture_records(matches: DataFrame, entities: DataFrame) -> DataFrame:
     return joined.join(instants, ["source", "match_id"], "left").join(dates, ["source", "match_id"], "left").select(
         "source", "match_id", "instant", "collected", F.coalesce(F.date_format("instant", "yyyy-MM-dd"), F.col("stated").cast("string")).alias("day"),
         F.least("home", "away").alias("team_a"), F.when(F.col("home").isNotNull() & F.col("away").isNotNull(), F.greatest("home", "away")).alias("team_b"),
-        F.date_format("instant", "HH:mm").alias("hour"), F.lower(F.trim("ground")).alias("ground"),
+        F.date_format(F.col("instant") + F.expr("interval 30 minutes"), "HH").alias("hour"), F.lower(F.trim("ground")).alias("ground"),
         both("score_home", "score_away").alias("score"), both("ht_home", "ht_away").alias("half_score"),
     )
 
 
 def _weights(records: DataFrame) -> DataFrame:
-    """records with ``w``, the inverse document frequency of each attribute's value, and ``norm``, BM25's length factor."""
+    """records with ``w``, the inverse document frequency of each attribute's value, ``norm``, BM25's length factor, and ``bound``."""
     attributes = ["team_a", "team_b", "day", *LIGHT]
     terms = records.select("source", "match_id", F.explode(F.array(*[F.struct(F.lit("team" if c.startswith("team") else c).alias("attr"), F.lit(c).alias("slot"), F.col(c).alias("value")) for c in attributes])).alias("t")).select(
         "source", "match_id", "t.*"
@@ -87,9 +95,13 @@ def _weights(records: DataFrame) -> DataFrame:
     totals = records.agg(F.count("*").alias("n"), F.avg(sum(F.col(c).isNotNull().cast("int") for c in attributes)).alias("mean")).first()
     counts = terms.groupBy("attr", "value").agg(F.count("*").alias("df"))
     idf = F.log1p((F.lit(totals.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm_of = lambda n: K1 * (1 - B + B * n / F.lit(totals["mean"] or 1.0))
+    # The most that a partner without an essential term can get: it has j of the light terms at best, and so as many terms at least.
+    light = F.sort_array(F.collect_list(F.when(F.col("slot").isin(*LIGHT), idf)), asc=False)
+    best = [F.aggregate(F.slice(light, 1, j), F.lit(0.0), lambda x, y: x + y) * (K1 + 1) / (1 + norm_of(j)) for j in range(1, len(LIGHT) + 1)]
     weighed = terms.join(counts, ["attr", "value"]).groupBy("source", "match_id").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", idf.alias("idf")))).alias("w"),
-        (K1 * (1 - B + B * F.count("*") / F.lit(totals["mean"] or 1.0))).alias("norm"),
+        norm_of(F.count("*")).alias("norm"), F.greatest(*best).alias("bound"),
     )
     return records.join(weighed, ["source", "match_id"])
 
@@ -114,11 +126,11 @@ def _candidates(records: DataFrame) -> DataFrame:
     return ordered.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
 
 
-def _scored(records: DataFrame) -> DataFrame:
-    """Candidate pairs with what they share and their BM25 scores in both directions."""
+def _scored(records: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs (a, b) with what they share, their BM25 scores in both directions and the bounds of both."""
     fields = [c for c in records.columns if c not in ("source", "match_id")]
     side = lambda n: records.select(F.struct("source", "match_id").alias(n), F.struct(*fields).alias(f"{n}_r"))
-    pairs = _candidates(records).join(side("a"), "a").join(side("b"), "b")
+    pairs = candidates.join(side("a"), "a").join(side("b"), "b")
     a, b = (lambda c: F.col("a_r")[c]), (lambda c: F.col("b_r")[c])
     weight = lambda c: F.coalesce(F.try_element_at(a("w"), F.lit(c)), F.lit(0.0))
     hours = F.abs(F.timestamp_diff("MINUTE", a("instant"), b("instant"))) / 60.0
@@ -127,11 +139,15 @@ def _scored(records: DataFrame) -> DataFrame:
     near = F.when(hours.isNotNull(), hours <= SAME_OCCASION_H).when(days.isNotNull(), days <= SAME_DATE_DAYS).otherwise(delivered <= SAME_DELIVERY_DAYS)
     in_b = lambda c: F.coalesce((a(c) == b("team_a")) | (a(c) == b("team_b")), F.lit(False)) & a(c).isNotNull()
     shared = F.when(in_b("team_a"), weight("team_a")).otherwise(0.0) + F.when(in_b("team_b"), weight("team_b")).otherwise(0.0)
-    day = F.when(near, F.greatest(weight("day"), F.coalesce(F.try_element_at(b("w"), F.lit("day")), F.lit(0.0))))
+    # Teams count with their day; without one the pair counts, or one team where another is not told.
+    told = a("team_b").isNotNull() & b("team_b").isNotNull()
+    essential = F.when(days.isNotNull(), near & (days <= SAME_DATE_DAYS)).otherwise((in_b("team_a") & in_b("team_b")) | ~told)
+    shared = F.when(essential, shared).otherwise(0.0)
+    day = F.when(near & essential & (in_b("team_a") | in_b("team_b")), F.greatest(weight("day"), F.coalesce(F.try_element_at(b("w"), F.lit("day")), F.lit(0.0))))
     light = [F.when(a(c) == b(c), weight(c)).otherwise(0.0) for c in LIGHT]
     total = sum(light, shared + F.coalesce(day, F.lit(0.0)))
     return pairs.select(
-        "a", "b", hours.alias("hours"), days.alias("days"), delivered.alias("delivered"),
+        "a", "b", hours.alias("hours"), days.alias("days"), delivered.alias("delivered"), a("bound").alias("a_bound"), b("bound").alias("b_bound"),
         (in_b("team_a").cast("int") + in_b("team_b").cast("int")).alias("teams"),
         (a("team_b").isNotNull() & b("team_b").isNotNull()).alias("both_known"),
         *[F.when(a(c).isNotNull() & b(c).isNotNull(), a(c) == b(c)).alias(f"same_{c}") for c in LIGHT],
@@ -140,12 +156,13 @@ def _scored(records: DataFrame) -> DataFrame:
 
 
 def _best(scored: DataFrame, me: str, other: str, score: str) -> DataFrame:
-    """The best partner of each row in each other provider, with its lead over the next best."""
+    """The best partner above the bound of each row in each other provider, with its lead over the next best or the bound."""
+    scored = scored.where(F.col(score) > F.col(f"{me}_bound"))
     ranked = Window.partitionBy(me, F.col(f"{other}.source")).orderBy(F.desc(score), F.col(f"{other}.match_id"))
     return (
         scored.withColumns({"rank": F.row_number().over(ranked), "next": F.lead(score).over(ranked)})
         .where("rank = 1")
-        .select("a", "b", (F.col(score) - F.coalesce("next", F.lit(0.0))).alias(f"{me}_lead"))
+        .select("a", "b", (F.col(score) - F.coalesce("next", f"{me}_bound")).alias(f"{me}_lead"))
     )
 
 
@@ -161,29 +178,60 @@ def fit_logistic(gaps: list[tuple[float, int, int]], rounds: int = 25) -> tuple[
     return float(w[0]), float(w[1])
 
 
+class Calibration(NamedTuple):
+    """Chance of a hit by lead, the share of hits where the lead is great, and the mean squared error on what it was not fitted on."""
+
+    base: float
+    slope: float
+    ceiling: float
+    brier: float
+
+
+def calibrate(bins: list[tuple[int, float, int, int]]) -> Calibration:
+    """From counts (half, lead, rows, hits): fitted on half 0, measured on half 1.
+
+    A hit is a sign of a match that not every match shows: how many do is told by
+    the pairs of the upper half of leads, which are matches as good as surely.
+    """
+    fit = [(g, n, h) for half, g, n, h in bins if half == 0]
+    base, slope = fit_logistic(fit)
+    leads = sorted((g, n) for g, n, _ in fit)
+    middle = next((g for k, (g, _) in enumerate(leads) if 2 * sum(n for _, n in leads[: k + 1]) >= sum(n for _, n in leads)), 0.0)
+    upper = [(n, h) for g, n, h in fit if g >= middle]
+    ceiling = sum(h for _, h in upper) / sum(n for n, _ in upper) if upper else 1.0
+    error = rows = 0.0
+    for half, g, n, h in bins:
+        if half:
+            p = 1 / (1 + np.exp(-(base + slope * g)))
+            error, rows = error + h * (1 - p) ** 2 + (n - h) * p**2, rows + n
+    return Calibration(base, slope, ceiling or 1.0, float(error / rows) if rows else 0.0)
+
+
 def match_fixtures(matches: DataFrame, entities: DataFrame) -> DataFrame:
     """(match_id_a, match_id_b, confidence): the pairs that are one fixture, smaller id first.
 
-    Kept are mutual best partners that pass the exact check: the same two teams
+    Kept are mutual best partners of a confidence of at least CONFIDENT that pass the exact check: the same two teams
     (one of them where the other is not told), and kick-offs of one occasion,
     dates next to each other where one states no time of day or, where one states
     no date either, deliveries of one occasion. Null and blank entities are told by the payload if it can be;
     repeated deliveries count once, the latest one; withdrawn rows count.
     """
     records = cut_lineage(_weights(cut_lineage(fixture_records(matches, entities))))
-    scored = cut_lineage(_scored(records))
+    scored = cut_lineage(_scored(records, _candidates(records)))
     mutual = cut_lineage(_best(scored, "a", "b", "a_to_b").join(_best(scored, "b", "a", "b_to_a"), ["a", "b"]).join(scored, ["a", "b"]).withColumn("lead", F.least("a_lead", "b_lead")))
-    # Calibration on all mutual pairs: how often the kick-offs agree to the hour, by lead in steps of a half.
-    agreed = mutual.where("hours is not null").groupBy(F.least(F.round(F.col("lead") * 2) / 2, F.lit(60.0)).alias("g")).agg(F.count("*").alias("n"), F.sum((F.col("hours") <= 1).cast("long")).alias("h"))
-    base, slope = fit_logistic([(r.g, r.n, r.h) for r in agreed.collect()])
-    confidence = 1 / (1 + F.exp(-(base + slope * F.col("lead"))))
+    # Calibration: how often both were first delivered together, which no score looks at, by lead in steps of a half.
+    step = F.greatest(F.least(F.round(F.col("lead") * 2) / 2, F.lit(60.0)), F.lit(0.0))
+    agreed = mutual.groupBy(F.pmod(F.xxhash64("a", "b"), F.lit(2)).alias("half"), step.alias("g")).agg(F.count("*").alias("n"), F.sum((F.col("delivered") <= SAME_DELIVERY_DAYS).cast("long")).alias("h"))
+    fitted = calibrate([(r.half, r.g, r.n, r.h) for r in agreed.collect()])
+    chance = 1 / (1 + F.exp(-(F.lit(fitted.base) + F.lit(fitted.slope) * F.col("lead"))))
+    confidence = F.least(F.lit(1.0), chance / F.lit(fitted.ceiling))
     alike = lambda c: F.coalesce(F.col(f"same_{c}"), F.lit(False))
     unlike = lambda c: ~F.coalesce(F.col(f"same_{c}"), F.lit(True))
     teams = F.when(F.col("both_known"), F.col("teams") == 2).otherwise((F.col("teams") >= 1) & (alike("ground") | alike("score")))
     late = (F.col("delivered") <= LATE_DAYS) & alike("ground") & alike("score") & alike("half_score")
     undated = (F.col("delivered") <= SAME_DELIVERY_DAYS) & ~unlike("ground") | late
     occasion = F.when(F.col("hours").isNotNull(), F.col("hours") <= SAME_OCCASION_H).when(F.col("days").isNotNull(), F.col("days") <= SAME_DATE_DAYS).otherwise(undated)
-    kept = mutual.where(teams & occasion).select(
+    kept = mutual.where(teams & occasion & (confidence >= CONFIDENT)).select(
         F.least("a.match_id", "b.match_id").alias("match_id_a"), F.greatest("a.match_id", "b.match_id").alias("match_id_b"), confidence.alias("confidence")
     )
     return kept.groupBy("match_id_a", "match_id_b").agg(F.max("confidence").alias("confidence"))

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from matchloom.llm import identities
 from matchloom.llm.bpe import PairIndexEncoder, default_vocabulary, encode_texts
-from matchloom.llm.fixtures import fit_logistic, match_fixtures
+from matchloom.llm import fixtures
+from matchloom.llm.fixtures import calibrate, fit_logistic, match_fixtures
 from matchloom.llm.identities import alike, link_variants, same_people
 from matchloom.llm import leaks
 from matchloom.llm.leaks import Item, SentenceIndex, WordStatistics, find_leaks, leak_report
@@ -181,6 +183,24 @@ def test_fixtures_by_stated_date_and_by_one_team(spark):
     assert {(r.match_id_a, r.match_id_b) for r in match_fixtures(matches, stored).collect()} == {("k1", "p1"), ("k3", "p3")}
 
 
+def test_no_partner_above_the_bound_is_missed(spark, folder):
+    """All pairs of different providers scored, against what the essential posting lists bring."""
+    records = fixtures._weights(fixtures.fixture_records(read_table(spark, folder, "matches"), read_table(spark, folder, "entities"))).cache()
+    key = F.struct("source", "match_id")
+    every = records.select(key.alias("a")).crossJoin(records.select(key.alias("b"))).where("a.source < b.source")
+    best = []
+    for pairs in (every, fixtures._candidates(records)):
+        scored = fixtures._scored(records, pairs)
+        best.append({(me, r.a, r.b, round(r[f"{me}_lead"], 6)) for me, other, score in (("a", "b", "a_to_b"), ("b", "a", "b_to_a")) for r in fixtures._best(scored, me, other, score).collect()})
+    assert best[0] == best[1] and len(best[0]) > 50
+
+
+def test_calibration():
+    bins = [(half, g / 2, 100, int(90 * min(1, g / 10))) for half in (0, 1) for g in range(40)]
+    fitted = calibrate(bins)
+    assert abs(fitted.ceiling - 0.9) < 0.02 and fitted.slope > 0 and fitted.brier < 0.2 and calibrate([]).ceiling == 1.0
+
+
 def test_logistic():
     base, slope = fit_logistic([(0.0, 100, 10), (1.0, 100, 50), (2.0, 100, 90)])
     assert abs(base + slope) < 0.2 and slope > 1.5
