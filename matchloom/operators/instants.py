@@ -8,6 +8,7 @@ no 25th hour, no 13 pm). Everything stays in built-in expressions on
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,9 @@ TIME_PATTERNS = (
     (r"^(\d{2})(\d{2})(\d{2})?(?:[.,]\d+)?\s*((?:[z+-]|utc|gmt).*|)$", "$1|$2|$3||$4"),
 )
 
+#: Sources that write slashed dates with the month first.
+MONTH_FIRST = ("stadia9",)
+
 #: A moment's text parts into a date and a time of day at one of these.
 SPLIT = (
     rf"^({_WEEKDAY}\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{8}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}"
@@ -157,10 +161,11 @@ def parse_moments(df: DataFrame, out: str, text: Column, month_first: Column, de
     rows = df.withColumn("__clean", tidy(text)).withColumns(
         {
             "__number": F.when(clean.rlike(r"^\d{9,14}$") & ~clean.rlike(r"^\d{8}$"), clean.try_cast("bigint")),
-            "__date": F.when(clean.rlike(SPLIT), F.regexp_replace(clean, SPLIT, "$1")),
-            "__time": F.when(clean.rlike(SPLIT), F.regexp_replace(clean, SPLIT, "$2")),
+            "__parts": F.split(F.regexp_replace(clean, SPLIT, "$1\u0001$2"), "\u0001"),
         }
     )
+    parts = F.col("__parts")
+    rows = rows.withColumns({"__date": F.when(F.size(parts) == 2, parts[0]), "__time": F.when(F.size(parts) == 2, parts[1])}).drop("__parts")
     spoken = with_instant(rows, "__spoken", F.col("__date"), F.col("__time"), month_first, default_zone)
     return spoken.withColumn(out, F.when(number.isNotNull(), epoch).otherwise(F.col("__spoken"))).drop("__clean", "__number", "__date", "__time", "__spoken")
 
@@ -177,16 +182,16 @@ def payload_text(payload: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "string"), F.when(payload.rlike(r'^\s*"'), F.try_variant_get(inner, path, "string")))
 
 
-def match_instants(matches: DataFrame) -> DataFrame:
-    """(match_id, source, instant) of the matches, null where the text states no moment."""
+def match_instants(matches: DataFrame, month_first: Collection[str] = MONTH_FIRST) -> DataFrame:
+    """(match_id, source, instant) of the matches, null where the text states no moment; ``month_first``: sources that write slashed dates so."""
     rows = matches.select("match_id", "source", "kickoff_utc", F.coalesce(payload_text(F.col("payload"), "$.venue_tz"), F.lit("UTC")).alias("tz"))
-    us = F.coalesce(F.col("source") == "stadia9", F.lit(False))
+    us = F.coalesce(F.col("source").isin(*month_first), F.lit(False))
     return parse_moments(rows, "instant", F.col("kickoff_utc"), us, F.col("tz")).select("match_id", "source", "instant")
 
 
-def stated_dates(matches: DataFrame) -> DataFrame:
+def stated_dates(matches: DataFrame, month_first: Collection[str] = MONTH_FIRST) -> DataFrame:
     """(match_id, source, stated) of the matches: the date in the text as written, with or without a readable time of day, else null."""
-    us = F.coalesce(F.col("source") == "stadia9", F.lit(False))
+    us = F.coalesce(F.col("source").isin(*month_first), F.lit(False))
     date = F.regexp_replace("clean", SPLIT, "$1")
     rows = matches.select("match_id", "source", tidy(F.col("kickoff_utc")).alias("clean"))
     parts = rows.withColumn("d", F.split(date_fields(date, us), r"\|"))
