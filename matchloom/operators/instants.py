@@ -189,15 +189,17 @@ def match_instants(matches: DataFrame, month_first: Collection[str] = MONTH_FIRS
     return parse_moments(rows, "instant", F.col("kickoff_utc"), us, F.col("tz")).select("match_id", "source", "instant")
 
 
-def stated_dates(matches: DataFrame, month_first: Collection[str] = MONTH_FIRST) -> DataFrame:
-    """(match_id, source, stated) of the matches: the date in the text as written, with or without a readable time of day, else null."""
+def stated_date(text: Column, month_first: Column) -> Column:
+    """The date in a text as written, with or without a readable time of day, else null."""
+    fields = F.split(date_fields(F.regexp_replace(tidy(text), SPLIT, "$1"), month_first), r"\|")
+    made = lambda d: F.call_function("try_make_timestamp_ntz", _int(d[0]), _month(d[1]), _int(d[2]), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"))
+    return let(fields, made).cast("date")
+
+
+def moments_of_matches(matches: DataFrame, zone: Column, month_first: Collection[str] = MONTH_FIRST) -> DataFrame:
+    """matches with ``instant`` and ``stated`` of their kickoff_utc, local to ``zone`` where it names none; no row is lost or moved."""
     us = F.coalesce(F.col("source").isin(*month_first), F.lit(False))
-    date = F.regexp_replace("clean", SPLIT, "$1")
-    rows = matches.select("match_id", "source", tidy(F.col("kickoff_utc")).alias("clean"))
-    parts = rows.withColumn("d", F.split(date_fields(date, us), r"\|"))
-    d = F.col("d")
-    made = F.call_function("try_make_timestamp_ntz", _int(d[0]), _month(d[1]), _int(d[2]), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"))
-    return parts.select("match_id", "source", made.cast("date").alias("stated"))
+    return parse_moments(matches.withColumn("stated", stated_date(F.col("kickoff_utc"), us)), "instant", F.col("kickoff_utc"), us, F.coalesce(zone, F.lit("UTC")))
 
 
 def worldcup_instants(worldcup: DataFrame) -> DataFrame:
