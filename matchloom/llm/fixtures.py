@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.identities import name_teams
-from matchloom.operators.instants import match_instants, stated_dates
+from matchloom.operators.instants import moments_of_matches, payload_text
 from matchloom.operators.nested import read_json
 from matchloom.session import cut_lineage
 
@@ -57,18 +57,16 @@ def fixture_records(matches: DataFrame, entities: DataFrame) -> DataFrame:
     text = lambda p: F.try_variant_get(v, p, "string")
     flat = latest.select("source", "match_id", "m.*", "collected").withColumn("v", read_json(F.col("payload")))
     read = flat.select(
-        "source", "match_id", "kickoff_utc", "home_entity", "away_entity", "score_home", "score_away", "payload", F.col("collected").cast("timestamp_ntz").alias("collected"),
+        "source", "match_id", "kickoff_utc", "home_entity", "away_entity", "score_home", "score_away", F.col("collected").cast("timestamp_ntz").alias("collected"),
         F.coalesce(text("$.home_team"), text("$.lineups[0].team"), text("$.rosters[0].team.displayName"), text("$.lineups.home.team")).alias("home_text"),
         F.coalesce(text("$.away_team"), text("$.lineups[1].team"), text("$.rosters[1].team.displayName"), text("$.lineups.away.team")).alias("away_text"),
-        text("$.stadium").alias("ground"),
+        text("$.stadium").alias("ground"), payload_text(F.col("payload"), "$.venue_tz").alias("tz"),
         F.try_variant_get(v, "$.score_ht_home", "int").alias("ht_home"), F.try_variant_get(v, "$.score_ht_away", "int").alias("ht_away"),
     )
-    read = cut_lineage(read)
+    read = cut_lineage(moments_of_matches(read, F.col("tz")).drop("kickoff_utc", "tz"))
     texts = read.select(F.explode(F.array("home_text", "away_text")).alias("text")).where("text is not null").distinct()
     of_entity, of_text = name_teams(entities, texts)
-    instants = match_instants(read.select("match_id", "source", "kickoff_utc", "payload"))
-    dates = stated_dates(read.select("match_id", "source", "kickoff_utc"))
-    joined = read.drop("payload")
+    joined = read
     for side in ("home", "away"):
         e = of_entity.select(F.col("source").alias(f"{side}_s"), F.col("entity_id").alias(f"{side}_e"), F.col("team").alias(f"{side}_by_id"))
         t = of_text.select(F.col("text").alias(f"{side}_t"), F.col("team").alias(f"{side}_by_text"))
@@ -77,7 +75,7 @@ def fixture_records(matches: DataFrame, entities: DataFrame) -> DataFrame:
         joined = joined.withColumn(side, F.coalesce(f"{side}_by_id", f"{side}_by_text"))
     pair = lambda a, b: F.concat_ws("-", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
     both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), pair(F.col(a), F.col(b)))
-    return joined.join(instants, ["source", "match_id"], "left").join(dates, ["source", "match_id"], "left").select(
+    return joined.select(
         "source", "match_id", "instant", "collected", F.coalesce(F.date_format("instant", "yyyy-MM-dd"), F.col("stated").cast("string")).alias("day"),
         F.least("home", "away").alias("team_a"), F.when(F.col("home").isNotNull() & F.col("away").isNotNull(), F.greatest("home", "away")).alias("team_b"),
         F.date_format(F.col("instant") + F.expr("interval 30 minutes"), "HH").alias("hour"), F.lower(F.trim("ground")).alias("ground"),

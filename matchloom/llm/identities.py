@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.metric import COUNTED, PIVOTS, distances, letter_counts, radius_join
+from matchloom.llm.metric import COUNTED, PIVOTS, letter_counts, pivot_table, radius_join
 from matchloom.llm.names import GivenNames, Person, parse_person, parse_team, same_given, same_surname
 from matchloom.llm.typography import plain
 from matchloom.session import cut_lineage, shuffle_width
@@ -239,7 +239,7 @@ def _placed(strata: DataFrame) -> DataFrame:
             used = np.minimum(-(-rows // CELL_ROWS), len(pivots.value))
             slices = -(-rows // (CELL_ROWS * len(pivots.value)))
             # Only as many pivots are measured as the largest stratum of the batch uses.
-            table = np.stack([distances([w for ws in listed for w in ws], p) for p in pivots.value[: int(used.max(initial=1))]], 1)
+            table = pivot_table([w for ws in listed for w in ws], pivots.value[: int(used.max(initial=1))])
             unused = np.arange(table.shape[1]) >= used[owner][:, None]
             table = np.where(unused, 1 << 20, table)
             seeks = batch.column("seeks").to_numpy(zero_copy_only=False).astype(bool)[owner]

@@ -56,34 +56,60 @@ def slip(a: str, b: str) -> int:
     return min(d, 3)
 
 
-def distances(words: list[str], pivot: str) -> np.ndarray:
-    """Levenshtein distance of every word to one pivot, all words at once."""
-    if not words:
-        return np.zeros(0, np.int32)
-    size = np.fromiter(map(len, words), np.int64, len(words))
+#: Letters of words that are laid out side by side at once.
+LAID_OUT = 4_000_000
+
+
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all words in a row, length of each)."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, words), np.int64, len(words))
+
+
+def pivot_table(words: list[str], pivots: list[str]) -> np.ndarray:
+    """Levenshtein distance of every word to every pivot; words of like length are measured together."""
+    out = np.zeros((len(words), len(pivots)), np.int32)
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    low = 0
+    while low < len(order):
+        high = low + 1
+        while high < len(order) and (high - low + 1) * (len(words[order[high]]) + 1) <= LAID_OUT:
+            high += 1
+        part = order[low:high]
+        out[part] = _measured([words[k] for k in part], pivots)
+        low = high
+    return out
+
+
+def _measured(words: list[str], pivots: list[str]) -> np.ndarray:
+    flat, size = _letters(words)
     width = int(size.max())
     letters = np.zeros((len(words), width), np.uint32)
-    for k, w in enumerate(words):
-        letters[k, : len(w)] = [ord(c) for c in w]
-    # One row per letter of the pivot; column j is the distance to the word's first j letters.
-    row = np.tile(np.arange(width + 1, dtype=np.int32), (len(words), 1))
-    for i, c in enumerate(pivot, 1):
-        change = row[:, :-1] + (letters != ord(c))
-        new = np.empty_like(row)
-        new[:, 0] = i
-        new[:, 1:] = np.minimum(change, row[:, 1:] + 1)
-        for j in range(1, width + 1):
-            np.minimum(new[:, j], new[:, j - 1] + 1, out=new[:, j])
-        row = new
-    return row[np.arange(len(words)), size]
+    letters[np.arange(width) < size[:, None]] = flat
+    out = np.empty((len(words), len(pivots)), np.int32)
+    place = np.arange(width + 1, dtype=np.int32)
+    for n, pivot in enumerate(pivots):
+        # One row per letter of the pivot; column j is the distance to the word's first j letters.
+        row = np.tile(place, (len(words), 1))
+        for i, c in enumerate(pivot, 1):
+            new = np.empty_like(row)
+            new[:, 0] = i
+            np.minimum(row[:, :-1] + (letters != ord(c)), row[:, 1:] + 1, out=new[:, 1:])
+            # A letter left out costs one each: the least of what is before, with the way from there.
+            row = np.minimum.accumulate(new - place, 1) + place
+        out[:, n] = row[np.arange(len(words)), size]
+    return out
+
+
+def distances(words: list[str], pivot: str) -> np.ndarray:
+    """Levenshtein distance of every word to one pivot."""
+    return pivot_table(words, [pivot])[:, 0]
 
 
 def letter_counts(words: list[str]) -> np.ndarray:
     """Letters counted in 32 classes per word, up to its COUNTED-th."""
     out = np.zeros((len(words), 32), np.int8)
-    for k, w in enumerate(words):
-        for c in w[:COUNTED]:
-            out[k, ord(c) & 31] += 1
+    flat, size = _letters([w[:COUNTED] for w in words])
+    np.add.at(out, (np.repeat(np.arange(len(words)), size), flat & 31), 1)
     return out
 
 
@@ -121,7 +147,7 @@ def radius_join(probes: DataFrame, words: DataFrame, radius: int, pivots: int =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(0).to_pylist()
-                table = np.stack([distances(texts, p) for p in sent.value], 1)
+                table = pivot_table(texts, sent.value)
                 if reach:
                     row, cell = np.nonzero(table <= table.min(1, keepdims=True) + reach)
                 else:
