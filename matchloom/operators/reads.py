@@ -34,9 +34,11 @@ def standings(rows: DataFrame, source: str, group_key: str | None = None) -> Dat
     return rows.orderBy("group_key", "rank", "entity_id")
 
 
-def events_since(events: DataFrame, match_id: str, since_seq: int = -1) -> DataFrame:
-    """Events of a match with a greater seq, in order; beyond the head there are none."""
-    return events.where((F.col("match_id") == match_id) & (F.col("seq") > since_seq)).orderBy("seq")
+def events_since(events: DataFrame, match_id: str | None = None, since_seq: int = -1) -> DataFrame:
+    """Events of a match, or of each, with a greater seq, in order; beyond the head there are none."""
+    if match_id is not None:
+        events = events.where(F.col("match_id") == match_id)
+    return events.where(F.col("seq") > since_seq).orderBy("match_id", "seq")
 
 
 def latest_of_type(events: DataFrame, types: tuple[str, ...]) -> DataFrame:
@@ -59,6 +61,24 @@ def has_any_event(matches: DataFrame, events: DataFrame) -> DataFrame:
     return matches.join(events.select("match_id"), "match_id", "left_semi")
 
 
+def ended_without_events(matches: DataFrame, events: DataFrame) -> DataFrame:
+    """Finished matches that have no event at all."""
+    keys = ["source", "match_id"]
+    return matches.where("status = 'FINISHED'").join(events.select(*keys), keys, "left_anti")
+
+
+def seq_stats(events: DataFrame) -> DataFrame:
+    """Per match its first seq, its head, how many events it has and how many seqs are missing in between."""
+    return events.groupBy("source", "match_id").agg(
+        F.min("seq").alias("first"), F.max("seq").alias("head"), F.count("*").alias("n"), (F.max("seq") - F.min("seq") + 1 - F.count("*")).alias("gaps")
+    )
+
+
+def ranked(rows: DataFrame, group: str, points: str, name: str) -> DataFrame:
+    """rows with ``rank`` by points within their group, equals by name."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(points), name)).cast("bigint"))
+
+
 def find_by_name(entities: DataFrame, name: Column, source: str | None = None, kind: str | None = None) -> DataFrame:
     """Entities whose stored fold equals the folded name, by source and id."""
     for column, value in (("source", source), ("kind", kind)):

@@ -115,7 +115,7 @@ def scorers(s, d):
 
 
 def provider_ids(s, d):
-    m = _matches(s, d).where("match_id is not null")
+    m = _matches(s, d, "status").where("match_id is not null")
     return m.select("source", "match_id", V.provider_id(F.col("source"), F.col("match_id")).alias("provider_id"), V.qualified_id(F.col("source"), V.provider_id(F.col("source"), F.col("match_id"))).alias("qualified"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.feed import team_key
@@ -19,7 +20,7 @@ def _lineups(s, d):
 
 def lineup_for_match(s, d):
     """Each row's place in its match's line-up, as a reader gets it."""
-    ordered = R.with_source(_lineups(s, d), _matches(s, d))
+    ordered = R.with_source(_lineups(s, d), read_table(s, d, "matches"))
     place = reads.squad(ordered)
     return place.select("source", "match_id", "team", "athlete_id", "display_name", "starter", F.col("place").cast("bigint").alias("place"))
 
@@ -94,14 +95,12 @@ def backfill_skips(s, d):
 
 def off_slate(s, d):
     """Stored matches of each source that no poll shows."""
-    return R.unknown_to(read_table(s, d, "match_polls").select("source", "match_id"), _matches(s, d).select("source", "match_id"), ["source", "match_id"]).groupBy("source").agg(F.count("*").alias("n"))
+    return R.unknown_to(read_table(s, d, "match_polls").select("source", "match_id"), _matches(s, d, "status").select("source", "match_id"), ["source", "match_id"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
 def matches_in_order(s, d):
     """The place of every match in the order of the listing."""
-    m = _matches(s, d).where("match_id is not null")
-    from pyspark.sql import Window
-
+    m = _matches(s, d, "kickoff_utc").where("match_id is not null")
     at = Window.partitionBy("source").orderBy(F.asc_nulls_first("kickoff_utc"), "match_id")
     return m.select("source", "match_id", F.row_number().over(at).cast("bigint").alias("place"))
 

@@ -70,7 +70,7 @@ def named_matches(s, d):
 
 def stored_forms(s, d):
     """Each provider id's stored match, by qualified or bare id."""
-    m = _matches(s, d).where("match_id is not null").select("source", "match_id", "updated_at")
+    m = _matches(s, d, "status").where("match_id is not null").select("source", "match_id", "updated_at")
     asked = m.select("source", V.provider_id(F.col("source"), F.col("match_id")).alias("provider_id")).distinct()
     entries = s.createDataFrame([], "source string, provider_id string, match_id string")
     return C.stored_row(m, entries, asked).withColumn("rank", F.col("rank").cast("bigint"))

@@ -6,56 +6,57 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
-from matchloom.operators import changes, merges, reads
+from matchloom.functions.feed import TAXONOMY
+from matchloom.operators import changes, merges, readport, reads
 from matchloom.sources import read_table
 
-EVENT_TYPES = ("kickoff", "half_time", "full_time", "goal", "own_goal", "penalty", "yellow", "red", "sub")
-
-
-def _matches(spark: SparkSession, folder: str) -> DataFrame:
+def _matches(spark: SparkSession, folder: str, *names: str) -> DataFrame:
+    """The last delivery of every match; of the columns only ``names`` are read and shuffled, if any are given."""
     rows = read_table(spark, folder, "matches").drop("deleted_at")
-    return reads.current_rows(rows, ["source", "match_id"], ["updated_at", "collected_at"])
+    keys, order = ["source", "match_id"], ["updated_at", "collected_at"]
+    return reads.current_rows(rows.select(*keys, *order, *names) if names else rows, keys, order)
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     return changes.record_union(read_table(spark, folder, "event_polls"))
 
 
+def _event_types(spark: SparkSession, folder: str) -> DataFrame:
+    """The last copy of every event, without what it tells beyond its type."""
+    return changes.record_union(read_table(spark, folder, "event_polls").select("source", "match_id", "seq", "snapshot_no", "polled_at", "minute", "period", "type"))
+
+
 #: The same two inputs in SQL.
 _M = "(select source, match_id, kickoff_utc, home_entity, away_entity, status, minute, period, score_home, score_away, display_clock, payload, updated_at from matches qualify row_number() over (partition by source, match_id order by updated_at desc, collected_at desc) = 1)"
 _E = "(select source, match_id, seq, minute, period, type, importance, actor_entity, target_entity, detail, payload from event_polls qualify row_number() over (partition by source, match_id, seq order by snapshot_no desc, polled_at desc, minute desc nulls last, period desc nulls last, type desc, importance desc, actor_entity desc nulls last, target_entity desc nulls last, detail desc nulls last, payload desc) = 1)"
 
 
 def latest_state(s, d):
-    return reads.latest_state(_matches(s, d), _events(s, d))
+    return reads.latest_state(_matches(s, d, "status"), _event_types(s, d))
 
 
 def list_matches(s, d):
-    return reads.list_matches(_matches(s, d), status="FINISHED").select("source", "match_id", "kickoff_utc", "status", "score_home", "score_away")
+    return reads.list_matches(_matches(s, d, "kickoff_utc", "status", "score_home", "score_away"), status="FINISHED").drop("updated_at", "collected_at")
 
 
 def events_since(s, d):
-    e = _events(s, d)
-    return e.where("seq > 3").select("source", "match_id", "seq", "type", "minute")
+    return reads.events_since(_event_types(s, d), since_seq=3).select("source", "match_id", "seq", "type", "minute")
 
 
 def latest_of_type(s, d):
-    return reads.latest_of_type(_events(s, d), reads.MARKERS)
+    return reads.latest_of_type(_event_types(s, d), reads.MARKERS)
 
 
 def has_any_event(s, d):
-    return reads.has_any_event(_matches(s, d), _events(s, d)).select("source", "match_id")
+    return reads.has_any_event(_matches(s, d, "status"), read_table(s, d, "event_polls")).select("source", "match_id")
 
 
 def finished_without_events(s, d):
-    m, e = _matches(s, d), _events(s, d)
-    return m.where("status = 'FINISHED'").join(e.select("source", "match_id"), ["source", "match_id"], "left_anti").groupBy("source").agg(F.count("*").alias("n"))
+    return reads.ended_without_events(_matches(s, d, "status"), read_table(s, d, "event_polls")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 def find_by_name(s, d):
-    e = read_table(s, d, "entities")
-    folded = e.select("source", "entity_id", "kind", T.fold("display_name").alias("fold"), "name_folded").distinct()
-    return folded.where("fold = name_folded").select("source", "entity_id", "kind")
+    return reads.find_by_name(read_table(s, d, "entities"), F.col("display_name")).select("source", "entity_id", "kind").distinct()
 
 
 def fold_names(s, d):
@@ -74,8 +75,7 @@ def squad_order(s, d):
 
 def player_stats(s, d):
     rows = read_table(s, d, "football_stats").drop("collected_at").distinct()
-    known = _matches(s, d).select("source", "match_id")
-    return rows.join(known, ["source", "match_id"], "left_semi").select("source", "match_id", "team", "possession", "shots", "corners")
+    return readport.with_source(rows, read_table(s, d, "matches")).select("source", "match_id", "team", "possession", "shots", "corners")
 
 
 def lineup_announced(s, d):
@@ -125,19 +125,19 @@ def record_union(s, d):
 
 
 def taxonomy_gate(s, d):
-    return changes.outside_taxonomy(read_table(s, d, "event_polls"), EVENT_TYPES[:3]).groupBy("type").agg(F.count("*").alias("n"))
+    """Types of both event tables that are not declared, and how often they occur."""
+    rows = read_table(s, d, "event_polls").select("type").unionByName(read_table(s, d, "events").select(F.col("event_type").alias("type")))
+    return changes.outside_taxonomy(rows, tuple(TAXONOMY)).groupBy("type").agg(F.count("*").alias("n"))
 
 
 def seq_stats(s, d):
-    return _events(s, d).groupBy("source", "match_id").agg(
-        F.min("seq").alias("first"), F.max("seq").alias("head"), F.count("*").alias("n"), (F.max("seq") - F.min("seq") + 1 - F.count("*")).alias("gaps")
-    )
+    return reads.seq_stats(read_table(s, d, "event_polls").select("source", "match_id", "seq").distinct())
 
 
 def upsert_last_wins(s, d):
     rows = read_table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity")
-    last = F.max(F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity"))
-    return rows.groupBy("l_orderkey", "l_linenumber").agg(last.alias("r")).select("l_orderkey", "l_linenumber", F.col("r.l_partkey").alias("l_partkey"), F.col("r.l_quantity").alias("l_quantity"))
+    order = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity"]
+    return reads.current_rows(rows, ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
 def masked_upsert(s, d):
@@ -200,7 +200,7 @@ def not_regressing(s, d):
 
 
 def flip_orientation(s, d):
-    rows = _matches(s, d).select("source", "match_id", "home_entity", "away_entity", "score_home", "score_away")
+    rows = _matches(s, d, "home_entity", "away_entity", "score_home", "score_away").drop("updated_at", "collected_at")
     return merges.flip(rows, F.coalesce(F.col("score_away") > F.col("score_home"), F.lit(False)))
 
 
@@ -226,11 +226,6 @@ def status_words(s, d):
     return read_table(s, d, "match_polls").select("status", T.status_of(F.col("status")).alias("state"), T.rank_of(F.col("status")).alias("rank")).distinct()
 
 
-def goal_slugs(s, d):
-    slugs = ["own-goal", "own-goal---header", "penalty-goal", "goal", "goal---volley", "yellow-card"]
-    return s.createDataFrame([(x,) for x in slugs], "slug string").select("slug", T.goal_type(F.col("slug")).alias("type"))
-
-
 def date_chunks(s, d):
     span = read_table(s, d, "match_polls").agg(F.to_date(F.min("polled_at")).alias("a"), F.to_date(F.max("polled_at")).alias("b"))
     return span.select(F.explode(T.date_chunks(F.col("a"), F.col("b"))).alias("day"))
@@ -243,14 +238,13 @@ def json_rows(s, d):
 def rank_standings(s, d):
     n, c = read_table(s, d, "nation"), read_table(s, d, "customer")
     counts = c.groupBy("c_nationkey").agg(F.count("*").alias("customers")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    order = Window.partitionBy("n_regionkey").orderBy(F.desc("customers"), "n_name")
-    return counts.select("n_regionkey", "n_name", "customers", F.row_number().over(order).cast("bigint").alias("rank"))
+    return reads.ranked(counts.select("n_regionkey", "n_name", "customers"), "n_regionkey", "customers", "n_name")
 
 
 _NAMES = """latest_state list_matches events_since latest_of_type has_any_event finished_without_events find_by_name fold_names stale_folds
 squad_order player_stats lineup_announced match_participants event_view card_counts snapshot_diff event_diff drift_classify drift_news replay_reveal step_reveal
 record_union taxonomy_gate seq_stats upsert_last_wins masked_upsert accrued_state payload_merge captured_states closing_state merge_detail not_regressing flip_orientation window_nearest
-resolve_authority feed_texts status_words goal_slugs date_chunks json_rows rank_standings""".split()
+resolve_authority feed_texts status_words date_chunks json_rows rank_standings""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _FOLD = "replace(lower(strip_accents(nfc_normalize(trim(display_name)))), 'ß', 'ss')"
@@ -332,7 +326,7 @@ case when type in ('kickoff', 'half_time', 'full_time') then type end as phase f
 select source, match_id, count(*) as n, max(seq) as head from e where blocked = 0 group by 1, 2""",
     "step_reveal": f"select source, match_id, seq, type from {_E} qualify row_number() over (partition by source, match_id order by seq) <= 3",
     "record_union": f"select source, match_id, seq, type, minute, detail from {_E}",
-    "taxonomy_gate": "select type, count(*) as n from event_polls where type is null or type not in ('kickoff', 'half_time', 'full_time') group by 1",
+    "taxonomy_gate": "select type, count(*) as n from (select type from event_polls union all select event_type from events) where type is null or type not in ('goal', 'own_goal', 'penalty', 'yellow', 'red', 'sub', 'kickoff', 'half_time', 'full_time') group by 1",
     "seq_stats": f"select source, match_id, min(seq) as first, max(seq) as head, count(*) as n, max(seq) - min(seq) + 1 - count(*) as gaps from {_E} group by 1, 2",
     "upsert_last_wins": "select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_quantity desc) = 1",
     "masked_upsert": f"""with p as {_ALL_POLLS}, k as (select distinct source, match_id from p),
@@ -360,7 +354,6 @@ and abs(date_diff('second', p.ts, e.ts)) <= 10800 qualify row_number() over (par
 select home_entity, match_id, rank from r qualify row_number() over (partition by home_entity order by rank, updated_at desc nulls last, match_id) = 1""",
     "feed_texts": "select distinct g.minute as minute, try_cast(trim(split_part(replace(g.minute, '''', ''), '+', 1)) as int) as parsed from (select unnest(goals1) as g from worldcup union all select unnest(goals2) from worldcup) where g.minute is not null",
     "status_words": f"select distinct status, coalesce(map {{'SCHEDULED': 'SCHEDULED', 'IN_PLAY': 'IN_PLAY', 'PAUSED': 'PAUSED', 'FINISHED': 'FINISHED'}}[status], 'UNKNOWN') as state, {_RANK.format(c='status')} as rank from match_polls",
-    "goal_slugs": "select * from (values ('own-goal', 'own_goal'), ('own-goal---header', 'own_goal'), ('penalty-goal', 'goal'), ('goal', 'goal'), ('goal---volley', 'goal'), ('yellow-card', null)) t(slug, type)",
     "date_chunks": "select strftime(unnest(generate_series(a - interval 1 day, b + interval 1 day, interval 1 day)), '%Y%m%d') as day from (select cast(min(polled_at) as date) as a, cast(max(polled_at) as date) as b from match_polls)",
     "json_rows": """select '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' as json from nation""",
     "rank_standings": "select n_regionkey, n_name, customers, row_number() over (partition by n_regionkey order by customers desc, n_name) as rank from (select c_nationkey, count(*) as customers from customer group by 1) join nation on c_nationkey = n_nationkey",
