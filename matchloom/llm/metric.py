@@ -21,6 +21,8 @@ from matchloom.session import shuffle_width
 
 #: Pivots of a join: what is sent to the tasks is bounded by this.
 PIVOTS = 48
+#: Words of a cell that one task holds.
+CELL_WORDS = 20_000
 #: Letters of a word that are counted.
 COUNTED = 100
 
@@ -134,7 +136,9 @@ def radius_join(probes: DataFrame, words: DataFrame, radius: int, pivots: int =
 
     ``probes`` and ``words`` have one string column each; null and empty strings
     match nothing. Pivots are the words with the smallest hashes: they only shape
-    the cells, the result does not depend on them. Large cells are split further.
+    the cells, the result does not depend on them. A cell's probes are dealt over
+    slices and, where there are more than CELL_WORDS a cell, its words over parts,
+    every probe slice meeting every part, so that no task holds a large cell whole.
     """
     spark = probes.sparkSession
     probes, words = (df.toDF(n).where(f"{n} <> ''").distinct() for df, n in ((probes, "probe"), (words, "word")))
@@ -162,14 +166,18 @@ def radius_join(probes: DataFrame, words: DataFrame, radius: int, pivots: int =
     parts = shuffle_width(spark)
     left = probes.mapInArrow(place(2 * radius), placed)
     right = words.mapInArrow(place(0), placed)
-    # A cell's words stay whole; its probes are dealt over slices, each with its own copy of the words.
     slices = max(1, -(-4 * parts // pivots))
-    left = left.withColumn("slice", F.pmod(F.xxhash64("text"), F.lit(slices)))
-    right = right.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
+    # The largest cell decides, one figure; words that lie close together may share it.
+    largest = right.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+    deals = max(1, -(-largest // CELL_WORDS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    left = left.withColumn("slice", F.pmod(F.xxhash64("text"), F.lit(slices))).withColumn("deal", every(deals))
+    right = right.withColumn("slice", every(slices)).withColumn("deal", F.pmod(F.xxhash64("text"), F.lit(deals)))
 
     def join(a: pa.Table, b: pa.Table) -> pa.Table:
         p, w = a["text"].to_pylist(), b["text"].to_pylist()
         found = list(cell_matches(p, a["d"].to_numpy(), w, b["d"].to_numpy(), radius))
         return pa.table({"probe": pa.array([p[k] for k, _, _ in found], pa.string()), "word": pa.array([w[i] for _, i, _ in found], pa.string()), "distance": pa.array([d for _, _, d in found], pa.int32())})
 
-    return left.groupBy("cell", "slice").cogroup(right.groupBy("cell", "slice")).applyInArrow(join, "probe string, word string, distance int").distinct()
+    keys = ("cell", "slice", "deal")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(join, "probe string, word string, distance int").distinct()

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from matchloom.llm import identities
+from matchloom.llm import identities, metric
 from matchloom.llm.bpe import PairIndexEncoder, default_vocabulary, encode_texts
 from matchloom.llm import fixtures
 from matchloom.llm.fixtures import calibrate, fit_logistic, match_fixtures
@@ -69,8 +69,9 @@ def test_distances_are_levenshtein():
     assert (slip("abcd", "abdc"), slip("abcd", "abcd"), slip("abcd", "axyd"), slip("abcd", "wxyz")) == (1, 0, 2, 3)
 
 
-@pytest.mark.parametrize("radius", [1, 2])
-def test_radius_join_is_exact(spark, radius):
+@pytest.mark.parametrize(("radius", "cell_words"), [(1, 20_000), (2, 20_000), (2, 3)])
+def test_radius_join_is_exact(spark, monkeypatch, radius, cell_words):
+    monkeypatch.setattr(metric, "CELL_WORDS", cell_words)
     dice = random.Random(radius)
     make = lambda n: ["".join(dice.choice("abcd") for _ in range(dice.randint(2, 9))) for _ in range(n)]
     left, right = make(80), make(120)
