@@ -3,8 +3,9 @@
 Keys get ordinals; each snapshot of a source becomes one bitmap over them and
 one vector of value codes aligned with it. Of two successive snapshots, AND-NOT
 gives additions and removals, and comparing the vectors on the common bits
-gives changes. Key blocks are independent, so a source of any size spreads over
-all tasks.
+gives changes. Key blocks are independent, and so are runs of snapshots that
+share the one between them, so that a source of any size and history spreads
+over all tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from matchloom.session import shuffle_width
 
+#: Snapshots of a block that one task holds.
+RUN = 64
+
 CHANGES = "tab string, source string, snapshot_no int, match_id string, seq int, change string"
 
 
@@ -104,4 +108,9 @@ def snapshot_changes(tables: dict[str, tuple[DataFrame, bool, tuple[str, ...]]],
     placed = latest.join(slates, (F.col("tab") == F.col("t")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("snapshot_no") == F.col("n"))).select(
         "tab", "source", "snapshot_no", "match_id", "seq", "value", "at", "next_no", F.pmod(F.xxhash64("match_id", "seq"), F.lit(blocks)).alias("block")
     )
-    return placed.groupBy("tab", "source", "block").applyInArrow(block_changes, CHANGES)
+    # A run's last snapshot is the next run's first, which changes are counted from; what follows it is known there.
+    run, last = F.floor(F.col("at") / RUN), F.col("at") % RUN == RUN - 1
+    dealt = placed.withColumn("run", F.explode(F.when(last, F.array(run, run + 1)).otherwise(F.array(run))))
+    own_end = last & (F.col("run") == run)
+    local = dealt.withColumns({"next_no": F.when(~own_end, F.col("next_no")), "at": F.when(F.col("run") > 0, F.col("at") - F.col("run") * RUN + 1).otherwise(F.col("at")).cast("int")})
+    return local.groupBy("tab", "source", "block", "run").applyInArrow(block_changes, CHANGES)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from matchloom.operators.instants import iso_utc, normalise_moments, parse_moments
 from matchloom.operators.nested import flatten_records
 from matchloom.operators.orphans import Parent, Reference, find_orphans
+from matchloom.operators import snapshots
 from matchloom.operators.snapshots import snapshot_changes
 
 MATCH = "match_id string, source string, kickoff_utc string, payload string, extra string"
@@ -122,8 +123,9 @@ def test_orphans_brute_force(spark):
 POLL = "snapshot_no int, polled_at timestamp_ntz, source string, match_id string, status string, block string"
 
 
-@pytest.mark.parametrize("blocks", [1, 5])
-def test_snapshots_brute_force(spark, blocks):
+@pytest.mark.parametrize(("blocks", "run"), [(1, 64), (5, 64), (1, 1), (5, 2), (40, 3)])
+def test_snapshots_brute_force(spark, monkeypatch, blocks, run):
+    monkeypatch.setattr(snapshots, "RUN", run)
     dice = random.Random(blocks)
     base = dt.datetime(2021, 1, 1)
     rows = []
