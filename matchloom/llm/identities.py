@@ -198,7 +198,6 @@ def _strata(people: DataFrame) -> DataFrame:
     Without an equal team or birthday alike() asks for an equal shirt and both
     given names, and that one of the two has no team: that one seeks.
     """
-    people = cut_lineage(people)
     shirt = F.when(F.col("full") & F.col("jersey").isNotNull() & F.col("position").isNotNull(), F.concat_ws("\t", "kind", F.lit("shirt"), "jersey", "position"))
     stated = people.select(
         "*",
@@ -293,7 +292,7 @@ def _near_pairs(rows: list[dict]) -> Iterator[tuple[dict, dict]]:
 def same_people(people: DataFrame, given: frozenset[str]) -> DataFrame:
     """Distinct (kind, key_a, key_b) of the records of one kind that are one person: all pairs that alike() accepts."""
     parts = shuffle_width(people.sparkSession) * 8
-    placed = _placed(_strata(_taken_apart(people, given)))
+    placed = _placed(_strata(cut_lineage(_taken_apart(people, given))))
 
     def run(table: pa.Table) -> pa.Table:
         groups: dict[tuple, list[dict]] = {}
@@ -312,6 +311,24 @@ def same_people(people: DataFrame, given: frozenset[str]) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(run, "kind string, key_a string, key_b string").distinct()
 
 
+def closed(pairs: DataFrame, people: DataFrame, rounds: int = 2) -> DataFrame:
+    """pairs and what follows from them: who is one with the same third is one, unless birthday, or team without a birthday, say otherwise.
+
+    A person has about one record per provider, so chains are short; each round
+    doubles the length of those that are closed.
+    """
+    facts = lambda side: people.select("kind", F.col("key").alias(side), F.col("team").alias(f"team_{side}"), F.col("dob").alias(f"dob_{side}"))
+    for _ in range(rounds):
+        both = pairs.select("kind", F.col("key_a").alias("x"), F.col("key_b").alias("y")).unionByName(pairs.select("kind", F.col("key_b").alias("x"), F.col("key_a").alias("y")))
+        onward = both.select("kind", F.col("x").alias("y"), F.col("y").alias("z"))
+        two = both.join(onward, ["kind", "y"]).where("x < z").select("kind", F.col("x").alias("key_a"), F.col("z").alias("key_b")).distinct()
+        told = two.join(pairs, ["kind", "key_a", "key_b"], "left_anti").join(facts("key_a"), ["kind", "key_a"]).join(facts("key_b"), ["kind", "key_b"])
+        same_day = F.col("dob_key_a") == F.col("dob_key_b")
+        fits = F.coalesce(same_day, F.coalesce(F.col("team_key_a") == F.col("team_key_b"), F.lit(True)))
+        pairs = cut_lineage(pairs.unionByName(told.where(fits).select("kind", "key_a", "key_b")))
+    return pairs
+
+
 def _dob(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), F.try_to_timestamp(text, F.lit("dd.MM.yyyy"))).cast("date").cast("string")
 
@@ -351,7 +368,8 @@ def link_variants(entities: DataFrame, lineups: DataFrame) -> DataFrame:
         .select(F.lit("athlete").alias("kind"), F.concat_ws(":", "source", "athlete_id").alias("key"), "team", F.lit(None).cast("string").alias("dob"), "jersey", "position", "names")
     )
     given = given_names(entities.where("kind = 'player'").select(F.col("display_name").alias("name")).unionByName(lineups.select(F.col("display_name").alias("name"))))
-    people = same_people(listed.unionByName(athletes), given)
+    everyone = cut_lineage(listed.unionByName(athletes))
+    people = closed(cut_lineage(same_people(everyone, given)), everyone)
     teams = _pairs_within(of_entity, "entity", "team", "entity_id")
     written = _pairs_within(of_text, "team_text", "team", "text")
     return people.unionByName(teams).unionByName(written).distinct()

@@ -127,6 +127,13 @@ def test_misspelled_players_without_common_stratum(spark):
     assert people_found(spark, rows, known) == people_alike(rows, known) >= {("a", "b"), ("a", "c"), ("b", "c")}
 
 
+def test_who_is_one_with_the_same_third(spark):
+    pairs = spark.createDataFrame([("entity", "a", "b"), ("entity", "b", "c"), ("entity", "c", "d"), ("entity", "d", "e"), ("athlete", "a", "x"), ("entity", "p", "q"), ("entity", "q", "r")], "kind string, key_a string, key_b string")
+    rows = [("entity", k, None, None) for k in "abcde"] + [("athlete", k, None, None) for k in "ax"] + [("entity", "p", None, "2000-01-01"), ("entity", "q", "t", None), ("entity", "r", "t", "2001-01-01")]
+    found = {tuple(r)[1:] for r in identities.closed(pairs, spark.createDataFrame(rows, "kind string, key string, team string, dob string")).collect()}
+    assert found == {("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("a", "c"), ("b", "d"), ("c", "e"), ("a", "d"), ("b", "e"), ("a", "e"), ("a", "x"), ("p", "q"), ("q", "r")}
+
+
 def test_large_strata_by_every_spelling(spark, monkeypatch):
     monkeypatch.setattr(identities, "CELL_ROWS", 4)
     dice = random.Random(4)
