@@ -10,27 +10,34 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from matchloom.operators.changes import classify_drift
 from matchloom.sources.store import exists
 
+#: Parts of the log by match: a batch reads the parts of its own matches only.
+BUCKETS = 64
 EVENT_COLUMNS = ("source", "match_id", "seq", "minute", "type", "importance", "detail", "payload")
 
 
 def stored_events(spark: SparkSession, log: str, schema, before: int | None = None) -> DataFrame:
     """The event log up to a batch, so that a batch that runs again never meets its own rows; empty where nothing is stored yet."""
     if not exists(spark, log):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(log)
+        return spark.createDataFrame([], StructType([*schema.fields, StructField("bucket", IntegerType())]))
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])).parquet(log)
     if before is not None:
         rows = rows.where(F.col("batch") < before)
-    return rows.select(*[f.name for f in schema.fields])
+    return rows.select(*[f.name for f in schema.fields], "bucket")
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.hash("source", "match_id"), F.lit(BUCKETS)))
 
 
 def apply_batch(batch: DataFrame, batch_id: int, log: str, drift: str) -> None:
     """Append what is new, write down what drifted. Running a batch id again rewrites the same two folders."""
     rows = batch.select(*EVENT_COLUMNS)
-    # Only the log of the matches that are polled is read into the comparison.
-    stored = stored_events(batch.sparkSession, log, rows.schema, before=batch_id).join(rows.select("source", "match_id").distinct(), ["source", "match_id"], "left_semi")
+    # The join on the bucket prunes the log's folders to those of the polled matches.
+    polled = _bucketed(rows.select("source", "match_id").distinct())
+    stored = stored_events(batch.sparkSession, log, rows.schema, before=batch_id).join(polled, ["bucket", "source", "match_id"], "left_semi").drop("bucket")
     classified = classify_drift(stored, rows).persist()
     try:
-        classified.where("drift = 'new'").drop("drift").write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        _bucketed(classified.where("drift = 'new'").drop("drift")).write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/batch={batch_id}")
         classified.where("drift in ('conflict', 'retroactive')").write.mode("overwrite").parquet(f"{drift}/batch={batch_id}")
     finally:
         classified.unpersist()
