@@ -43,14 +43,14 @@ RARE, LEAST = 0.001, 0.02
 BESIDE = 1000
 #: Weighted letters that a window is taken to have at least: a few everyday words are no evidence.
 FLOOR = 12.0
-#: At most so many labelled rows are used to fit, in order of their ids, and so many landmarks, half of them harmful at most.
-FIT_ROWS, LANDMARKS = 20_000, 1200
+#: At most so many labelled rows are used to fit, those with the least hashes of their ids, and so many landmarks, half of them harmful at most.
+FIT_ROWS, LANDMARKS = 3000, 1200
 #: Windows of the labelled harmless rows that a fit uses at most, evenly spread.
 FIT_WINDOWS = 20_000
 #: A window of this score is surely harmful; its words and so many beside it are counted.
 SURE, AROUND = -0.15, 6
 #: Documents of which a word's share in sure remarks is thought to be the usual one; the least share that counts, and its weight.
-PRIOR, TELLING, WEIGHT = 5.0, 0.25, 2.0
+PRIOR, TELLING, WEIGHT = 5.0, 0.18, 2.0
 #: Scores from here on count as found.
 THRESHOLD = 0.1
 
@@ -279,6 +279,53 @@ def _gram(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.n
     return out
 
 
+def _projected(texts: list[str], rarity: Rarity, marks: list[tuple[np.ndarray, np.ndarray]], pick: Callable[[list[str], np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(text of each picked window, its kernel with every landmark), as scores sum windows up: one running sum per landmark.
+
+    ``pick`` chooses windows by (their letters, their texts, their sizes in words).
+    """
+    codes, begins = _codes(texts)
+    words = _spread(codes, begins)
+    first, last = _windows(words)
+    joined = codes.tobytes().decode("ascii")
+    cut = [joined[s : e + 1] for s, e in zip(words.start[first].tolist(), words.end[last].tolist(), strict=True)]
+    chosen = pick(cut, words.text[first], last - first + 1)
+    first, last = first[chosen], last[chosen]
+    rare = rarity.weight[words.bucket].astype(np.float64)
+    by_letter, length = _per_letter(rare, words, len(codes)), words.end - words.start
+    mass = np.concatenate([[0.0], np.cumsum(rare * rare * length)])
+    norm = np.sqrt(UNIT * np.maximum(FLOOR, mass[last + 1] - mass[first]))
+    hashed, start, end = list(_hashes(codes)), words.start[first], words.end[last]
+    out, dense = np.empty((len(first), len(marks)), np.float32), np.zeros(SPACE, np.float32)
+    for j, (places, values) in enumerate(marks):
+        dense[places] = values
+        each = np.zeros(len(codes) - REACH, np.float32)
+        for h, weight in hashed:
+            each += np.float32(weight) * dense[h]
+        dense[places] = 0
+        running = np.concatenate([[0.0], np.cumsum(each * by_letter[: len(each)])])
+        out[:, j] = (running[end] - running[start]) / norm
+    return words.text[first], out
+
+
+def _distinct_windows(cut: list[str], text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One window of equal ones, evenly spread over their letters where there are too many."""
+    del text, size
+    at: dict[str, int] = {}
+    for k, c in enumerate(cut):
+        at.setdefault(c, k)
+    return np.array(_spaced([at[c] for c in sorted(at)], FIT_WINDOWS), np.int64)
+
+
+def _telling_windows(cut: list[str], text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Windows by text, the longest last: the shortest are too little to tell what in a harmful remark is harmful, but for remarks as short."""
+    del cut
+    longest = np.zeros(int(text.max()) + 1, np.int64)
+    np.maximum.at(longest, text, size)
+    kept = np.flatnonzero(size > np.minimum(WINDOWS[0], longest[text] - 1))
+    return kept[np.lexsort((size[kept], text[kept]))]
+
+
 def hinge_weights(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Linear SVM by dual coordinate descent, rows at their bound put aside after a round; the last column of z is the constant."""
     alpha, w = np.zeros(len(y)), np.zeros(z.shape[1])
@@ -316,20 +363,18 @@ class RemarkModel:
         remarks = [r for r in remarks if r[0]]
         if len({b for _, b in remarks}) < 2:
             return cls(np.zeros(SPACE), 0.0, rarity.weight)
-        harmless = {p.text: p for t, bad in remarks if not bad for p in _pieces(t, rarity)}
-        good = _spaced([harmless[t] for t in sorted(harmless)], FIT_WINDOWS)
-        # Windows of three words are too little to tell what in a harmful remark is harmful.
-        windows = [[p for p in _pieces(t, rarity) if p.text.count(" ") > WINDOWS[0] + 1] or _pieces(t, rarity)[-1:] for t, bad in remarks if bad]
-        bad_marks = _spaced([w[-1] for w in windows], LANDMARKS // 2)
-        marks = [spectrum(p) for p in [*bad_marks, *_spaced(good, LANDMARKS - len(bad_marks))]]
+        good_texts, bad_texts = ([t for t, b in remarks if b == bad] for bad in (False, True))
+        harmless = {p.text: p for t in good_texts for p in _pieces(t, rarity)}
+        bad_marks = [_pieces(t, rarity)[-1] for t in _spaced(bad_texts, LANDMARKS // 2)]
+        marks = [spectrum(p) for p in [*bad_marks, *_spaced([harmless[t] for t in sorted(harmless)], LANDMARKS - len(bad_marks))]]
         values, vectors = np.linalg.eigh(_gram(marks, marks).astype(np.float64))
         kept = values > 1e-6 * values.max()
         root = vectors[:, kept] / np.sqrt(values[kept])
         one = lambda z: np.hstack([z, np.ones((len(z), 1))])
-        good_z = one(_gram([spectrum(p) for p in good], marks) @ root)
-        owner = np.repeat(np.arange(len(windows)), [len(p) for p in windows])
-        flat_z = one(_gram([spectrum(p) for ps in windows for p in ps], marks) @ root)
-        ends = np.cumsum([len(p) for p in windows])
+        good_z = one(_projected(good_texts, rarity, marks, _distinct_windows)[1] @ root)
+        owner, flat = _projected(bad_texts, rarity, marks, _telling_windows)
+        flat_z = one(flat @ root)
+        ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
         chosen, w = ends - 1, np.zeros(root.shape[1] + 1)
         for _ in range(3):
             z = np.vstack([flat_z[chosen], good_z])
@@ -435,7 +480,7 @@ def _words_of(group: list[str | None]) -> tuple[np.ndarray, int]:
 
 def fit_remarks(examples: DataFrame, documents: DataFrame) -> RemarkModel:
     """The model of the labelled table, trained on the driver on at most FIT_ROWS rows; word counts are over all documents."""
-    labelled = examples.where("text is not null and label is not null").orderBy("example_id").limit(FIT_ROWS).select("text", "label")
+    labelled = examples.where("text is not null and label is not null").orderBy(F.xxhash64("example_id"), "example_id", "text").limit(FIT_ROWS).select("text", "label")
     counts, total = _counted(documents, lambda: _words_of)
     model = RemarkModel.fit([(r.text, r.label) for r in labelled.collect()], Rarity(counts, total))
     if not model.weights.any():
