@@ -102,14 +102,12 @@ def _undisguised(word: str) -> str:
 
 
 def _word(word: str) -> str:
-    """The word as compared, which may be several words or none."""
-    known = _compared.get(word)
-    if known is None:
-        if len(_compared) >= REMEMBERED:
-            _compared.clear()
-        known = _MARKS.sub(_MARK, _KEEP.sub(" ", _undisguised(word).lower())).strip()
-        if len(word) <= 40:
-            _compared[word] = known
+    """The word as compared, which may be several words or none; remembered unless it is long."""
+    if len(_compared) >= REMEMBERED:
+        _compared.clear()
+    known = _MARKS.sub(_MARK, _KEEP.sub(" ", _undisguised(word).lower())).strip()
+    if len(word) <= 40:
+        _compared[word] = known
     return known
 
 
@@ -123,7 +121,11 @@ def _cased(text: str) -> Iterator[tuple[str, bool]]:
 def letters(text: str) -> str:
     """The remark as compared: words of plain letters, disguises undone and marked, figures as #; '' if nothing is left."""
     t = _SPELLED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()) + "~", text)
-    t = " ".join(filter(None, map(_word, t.split())))
+    spoken = t.split()
+    known = list(map(_compared.get, spoken))
+    if None in known:
+        known = [_word(w) if k is None else k for w, k in zip(spoken, known, strict=True)]
+    t = " ".join(filter(None, known))
     return f" {t} " if t else ""
 
 
