@@ -100,18 +100,20 @@ class WordReader:
         return known
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        """The terms of what stands between two spaces, remembered."""
-        known = self.remembered.get(piece)
-        if known is None:
-            if len(self.remembered) > 500_000:
-                self.remembered.clear()
-            known = tuple(map(self.term, words(piece)))
-            if len(piece) <= 60:
-                self.remembered[piece] = known
+        """The terms of what stands between two spaces; remembered unless it is long."""
+        if len(self.remembered) > 500_000:
+            self.remembered.clear()
+        known = tuple(map(self.term, words(piece)))
+        if len(piece) <= 60:
+            self.remembered[piece] = known
         return known
 
     def terms(self, text: str | None) -> np.ndarray:
-        return np.array(list(chain.from_iterable(map(self._piece, whole_words(text or "").split()))), np.int64)
+        pieces = whole_words(text or "").split()
+        known = list(map(self.remembered.get, pieces))
+        if None in known:
+            known = [self._piece(p) if k is None else k for p, k in zip(pieces, known, strict=True)]
+        return np.array(list(chain.from_iterable(known)), np.int64)
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,19 +183,20 @@ class SentenceIndex:
         keys = keys[np.bincount(inverse, self.part[posting], len(keys)) >= least - 1e-9]
         return keys // len(self.units), keys % len(self.units)
 
-    def aligned(self, unit: np.ndarray, text: np.ndarray) -> float:
-        """Part of the unit's weight that stands in the text in order and close together."""
-        own = np.unique(unit)
-        hits = np.flatnonzero(np.isin(text, own))
-        if not len(hits):
+    def aligned(self, unit: np.ndarray, text: np.ndarray, least: float = 0.0) -> float:
+        """Part of the unit's weight that stands in the text in order and close together; 0 where it can't reach ``least``."""
+        weight = self.idf[unit] + 0.3
+        held = np.isin(unit, text)
+        # What stands there at all bounds what stands there in order.
+        if not held.any() or weight[held].sum() < least * weight.sum():
             return 0.0
+        hits = np.flatnonzero(np.isin(text, unit))
         # The span of words that holds most of the unit's weight, by the hit that ends it.
         span = self.span(len(unit))
         running = np.cumsum(self.idf[text[hits]])
         low = np.searchsorted(hits, hits - span, side="right")
         at = int(hits[np.argmax(running - np.where(low > 0, running[np.maximum(low, 1) - 1], 0.0))])
         part = text[max(0, at - span + 1 - len(unit) // 3) : at + 1 + len(unit) // 3]
-        weight = self.idf[unit] + 0.3
         row = np.zeros(len(part) + 1)
         for w, x in zip(unit.tolist(), weight.tolist(), strict=True):
             # Either the word is left out, or it stands at one of its places after what came before.
@@ -209,7 +212,7 @@ class SentenceIndex:
             pair = np.unique((number * len(self.idf) + term)[term >= 0])
             if len(pair):
                 for w, u in zip(*self.candidates(pair // len(self.idf), pair % len(self.idf), len(part)), strict=True):
-                    if self.aligned(self.units[u], part[w][1]) >= HELD:
+                    if self.aligned(self.units[u], part[w][1], HELD) >= HELD:
                         yield part[w][0], int(u)
 
     def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, Item, float]]:
